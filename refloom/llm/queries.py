@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import bpe_tree, exact_dedup, packing, token_counts
+from refloom.llm import bpe_tree, exact_dedup, packing, resharding, token_counts, warc
 from refloom.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(warc.round_trip(table(spark, sf_dir, "pages")))
+    return out.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("text_digest")).alias("text_sha256"))
@@ -34,4 +39,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, limit: int = 1024) -> Dat
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_bpe_tree, op4_packing, op8_token_counts)}
+def op9_flow_resharding(spark: SparkSession, sf_dir: str, old_shards: int = 18, shards: int = 24) -> DataFrame:
+    out = resharding.initial_and_new(table(spark, sf_dir, "documents"), old_shards, shards)
+    return out.select("doc_id", "size", F.crc32(F.encode("content", "utf-8")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_segments, op2_exact_dedup, op3_bpe_tree, op4_packing, op8_token_counts, op9_flow_resharding)}
