@@ -16,8 +16,9 @@ CACHE_CHARS = 48
 
 # Between two of these characters a single space always starts a new pre-token of the byte-level pattern.
 _CUT_AT_SPACE = re.compile("(?<=[!-~À-ɏ])(?= [!-~À-ɏ])")
-# Where white space is dropped before the merges, ASCII white space always parts pre-tokens.
-_WORDS = re.compile("[^ \\t\\n\\r]+")
+# Where white space is dropped before the merges, ASCII white space always parts pre-tokens, and so does the
+# end of a word of Latin letters before white space or one of , . ; : ! ?
+_WORDS = re.compile("(?<![^ \\t\\n\\r])[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \\t\\n\\r,.;:!?]|\\Z)|[^ \\t\\n\\r]+")
 
 
 def _chunker(spec: dict):
@@ -36,6 +37,17 @@ def _chunker(spec: dict):
     return None
 
 
+class _Known(dict):
+    """Ids by chunk; what is looked up in vain is noted in new and reads as None."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: set[str] = set()
+
+    def __missing__(self, chunk: str) -> None:
+        self.new.add(chunk)
+
+
 class Encoder:
     """Ids of texts by a tokenizer file, as little-endian int32 bytes, without special tokens added.
 
@@ -44,7 +56,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.path, self.cache, self.chunks, self.mark, self.hf, self.sp = path, {}, None, None, None, None
+        self.path, self.cache, self.chunks, self.mark, self.ends, self.hf, self.sp = path, _Known(), None, None, None, None, None
         if path.endswith(".model"):
             import sentencepiece
 
@@ -61,6 +73,11 @@ class Encoder:
         self.chunks = _chunker(spec)
         plain = [t for t in spec["added_tokens"] if t["special"] and "<" in t["content"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])]
         self.mark = (plain[-1]["content"], plain[-1]["id"]) if plain else None
+        suffix = getattr(self.hf.model, "end_of_word_suffix", None)
+        if suffix and self.chunks == _WORDS.findall:
+            vocab = self.hf.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         if self.sp:
@@ -82,24 +99,41 @@ class Encoder:
             out += [raw[s + 4 : e] for s, e in zip([-4, *cuts], [*cuts, len(raw)], strict=True)]
         return out
 
+    def _alphabetic(self, chunks: list[str]) -> list[bytes]:
+        """As _joined(), for chunks of letters that each end in one token with the end-of-word suffix."""
+        out: list[bytes] = []
+        for at in range(0, len(chunks), 4096):
+            part = chunks[at : at + 4096]
+            ids = np.asarray(self.hf.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<i4")
+            cuts = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
+            if len(cuts) != len(part):
+                out += self._joined(part)
+                continue
+            raw = ids.tobytes()
+            out += [raw[s:e] for s, e in zip([0, *cuts[:-1]], cuts, strict=True)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Empty texts have none."""
         if self.chunks is None:
             return self._direct(texts)
         cache = self.cache
         pieces = [self.chunks(t) for t in texts]
-        new = [c for c in set().union(*pieces) if c not in cache]
+        cache.new = set()
+        found = [list(map(cache.__getitem__, p)) for p in pieces]
+        new = cache.new
         if not new:
-            return [b"".join(map(cache.__getitem__, p)) for p in pieces]
-        safe = [c for c in new if self.mark and "<" not in c]
-        ids = dict(zip(safe, self._joined(safe), strict=True))
+            return [b"".join(f) for f in found]
+        letters = [c for c in new if c.isalpha()] if self.ends is not None else []
+        ids = dict(zip(letters, self._alphabetic(letters), strict=True))
+        marked = [c for c in new if c not in ids and "<" not in c] if self.mark else []
+        ids.update(zip(marked, self._joined(marked), strict=True))
         rest = [c for c in new if c not in ids]
         ids.update(zip(rest, self._direct(rest), strict=True))
         room = CACHE_ENTRIES - len(cache)
         if room > 0:
-            cache.update((c, ids[c]) for c in new[:room] if len(c) <= CACHE_CHARS)
-        get = cache.get
-        return [b"".join([x if (x := get(c)) is not None else ids[c] for c in p]) for p in pieces]
+            cache.update(((c, x) for c, x in list(ids.items())[:room] if len(c) <= CACHE_CHARS))
+        return [b"".join([ids[c] if x is None else x for c, x in zip(p, f, strict=True)]) for p, f in zip(pieces, found, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         if self.sp:
