@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import bpe_tree, exact_dedup, packing, resharding, token_counts, warc
+from refloom.llm import bpe_tree, exact_dedup, packing, quality, resharding, token_counts, warc
 from refloom.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +34,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str, limit: int = 1024) -> DataFrame:
     out = token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
@@ -44,4 +48,4 @@ def op9_flow_resharding(spark: SparkSession, sf_dir: str, old_shards: int = 18,
     return out.select("doc_id", "size", F.crc32(F.encode("content", "utf-8")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_segments, op2_exact_dedup, op3_bpe_tree, op4_packing, op8_token_counts, op9_flow_resharding)}
+QUERIES = {f.__name__: f for f in (op1_warc_segments, op2_exact_dedup, op3_bpe_tree, op4_packing, op7_quality, op8_token_counts, op9_flow_resharding)}
