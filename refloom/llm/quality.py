@@ -27,6 +27,8 @@ TRAIN_ROWS = 6_000
 #: Code points of a training text beyond which it is left out of training. Scoring has no such limit.
 TRAIN_CHARS = 50_000
 UPDATES, RATE, SEED = 24_000, 0.4, 7
+#: Buckets of the two kinds of word bigram.
+REPEATED, DIFFERENT = 0, 1
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 
@@ -34,9 +36,13 @@ _U = np.uint64
 
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of every word and every character n-gram inside a word."""
+    """(text, bucket) of every word, every character n-gram inside a word, and every word bigram's kind: a repeated word or two different ones."""
     data, n = w.data, len(w.data)
     docs, buckets = [w.doc], [w.hashes % _U(BUCKETS)]
+    if len(w.starts) > 1:
+        pair = w.doc[1:] == w.doc[:-1]
+        docs.append(w.doc[1:][pair])
+        buckets.append(np.where(w.hashes[1:] == w.hashes[:-1], REPEATED, DIFFERENT)[pair].astype(_U))
     if n and len(w.starts):
         _, values, _ = _tables()
         power, inverse = _powers(_BYTE_BASE, n + 1)
