@@ -18,6 +18,8 @@ from refloom.llm.bpe import encoder
 from refloom.llm.common import small_batches, whole_text, written
 
 SEQUENCE_TOKENS = 2048
+#: Rows of the partitions' prefix sums up to which they are broadcast.
+MOST_BASES = 500_000
 
 _ENCODED = "part int, doc_id long, start_in_part long, doc_tokens long, ids binary"
 
@@ -54,7 +56,9 @@ def pack(encoded: DataFrame, sequence_tokens: int = SEQUENCE_TOKENS) -> DataFram
     totals = encoded.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
     order = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
-    placed = encoded.join(bases, "part").withColumn("at", F.col("base") + F.col("start_in_part"))
+    # a row of 12 bytes for each partition; more partitions than MOST_BASES are joined by a shuffle
+    small = bases.count() <= MOST_BASES
+    placed = encoded.join(F.broadcast(bases) if small else bases, "part").withColumn("at", F.col("base") + F.col("start_in_part"))
     size = F.lit(sequence_tokens).cast("long")
     first, last = F.expr(f"at div {sequence_tokens}"), F.expr(f"(at + doc_tokens - 1) div {sequence_tokens}")
     pieces = placed.withColumn("sequence_id", F.explode(F.sequence(first, last)))
