@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import bpe_tree, exact_dedup, packing, quality, resharding, token_counts, warc
+from refloom.llm import bpe_tree, exact_dedup, packing, quality, repeated_phrases, resharding, token_counts, warc
 from refloom.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -48,4 +48,9 @@ def op9_flow_resharding(spark: SparkSession, sf_dir: str, old_shards: int = 18,
     return out.select("doc_id", "size", F.crc32(F.encode("content", "utf-8")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_segments, op2_exact_dedup, op3_bpe_tree, op4_packing, op7_quality, op8_token_counts, op9_flow_resharding)}
+def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_phrases.remove_repeated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_segments, op2_exact_dedup, op3_bpe_tree, op4_packing, op7_quality, op8_token_counts, op9_flow_resharding, op10_repeated_phrases)}
