@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import bpe_tree, embedding_dedup, exact_dedup, packing, quality, repeated_phrases, resharding, token_counts, warc
+from refloom.llm import bpe_tree, embedding_dedup, exact_dedup, jaccard_join, packing, quality, repeated_phrases, resharding, token_counts, warc
 from refloom.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +38,10 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,4 +61,4 @@ def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_segments, op2_exact_dedup, op3_bpe_tree, op4_packing, op5_embedding_dedup, op7_quality, op8_token_counts, op9_flow_resharding, op10_repeated_phrases)}
+QUERIES = {f.__name__: f for f in (op1_warc_segments, op2_exact_dedup, op3_bpe_tree, op4_packing, op5_embedding_dedup, op6_jaccard_join, op7_quality, op8_token_counts, op9_flow_resharding, op10_repeated_phrases)}
