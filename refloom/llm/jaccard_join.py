@@ -354,3 +354,10 @@ def _sizes(batches):
     for b in batches:
         n = [int(x) for _, _, bounds, _ in shingle_sets(b.column("content")) for x in np.diff(bounds)]
         yield pa.RecordBatch.from_pydict({"row_id": b.column("row_id"), "n_shingles": pa.array(n, pa.int64())})
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = THRESHOLD) -> DataFrame:
+    """The rows of docs whose id is their component's, all columns as they are; rows with a null id stay. An id names one document."""
+    found = similar_components(docs, id_col, text_col, threshold)
+    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone_id")).distinct()
+    return docs.join(gone, docs[id_col] == F.col("_gone_id"), "left_anti")

@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from refloom.llm.common import shuffle_partitions, small_batches, whole_text
 from refloom.llm.textkernel import Words, words
@@ -237,7 +238,7 @@ class Locator:
         return [np.cumsum(c[:-1]) > 0 for c in cover]
 
 
-def _remove(window: int):
+def _remove(window: int, as_it_was: bool):
     """One shard: its documents and the confirmed window hashes in it."""
 
     def run(docs: pd.DataFrame, confirmed: pd.DataFrame) -> pd.DataFrame:
@@ -259,19 +260,19 @@ def _remove(window: int):
         for text, cover in zip(docs["content"], locator.covered(hashes), strict=True):
             found = text.encode("utf-8").split()
             kept = [x for x, c in zip(found, cover, strict=True) if not c] if cover.any() else found
-            rows.append((len(found), len(found) - len(kept), b" ".join(kept).decode("utf-8")))
+            rows.append((len(found), len(found) - len(kept), text if as_it_was and len(kept) == len(found) else b" ".join(kept).decode("utf-8")))
         n_words, n_removed, kept = zip(*rows, strict=True) if rows else ((), (), ())
-        return pd.DataFrame({"row_id": docs["row_id"], "n_words": pd.Series(n_words, dtype="int64"), "n_removed": pd.Series(n_removed, dtype="int64"), "kept_text": pd.Series(kept, dtype=object)})
+        return pd.DataFrame({"row_id": docs["row_id"], **({"carried": docs["carried"]} if "carried" in docs else {}), "n_words": pd.Series(n_words, dtype="int64"), "n_removed": pd.Series(n_removed, dtype="int64"), "kept_text": pd.Series(kept, dtype=object)})
 
     return run
 
 
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, carried: str | None = None, as_it_was: bool = False) -> DataFrame:
     """(id, n_words, n_removed, kept_text) of every row: its words without those covered by a window that recurs.
 
     Words are runs of anything but space and 0x09 to 0x0D and compared as they are. Windows are judged on the
     input, so both of two copies lose a passage. kept_text joins the words by one space. Texts of fewer than
-    window words lose nothing; null counts as empty, with no words; repeated rows are copies of each other and
+    window words lose nothing; a string column named by carried is handed through, and with as_it_was a row that loses nothing has its own text as kept_text; null counts as empty, with no words; repeated rows are copies of each other and
     get a row each, as do null ids; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -279,7 +280,8 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = shuffle_partitions(spark)
     n_shards, log2 = 2 * parts, max(1, (parts - 1).bit_length())
     shard = F.pmod(F.xxhash64(F.coalesce("row_id", F.lit(0)), F.length("content")), F.lit(n_shards)).cast("int")
-    rows = docs.select(F.col(id_col).cast("long").alias("row_id"), whole_text(text_col).alias("content")).withColumn("shard", shard)
+    more = [F.col(carried).alias("carried")] if carried else []
+    rows = docs.select(F.col(id_col).cast("long").alias("row_id"), whole_text(text_col).alias("content"), *more).withColumn("shard", shard)
 
     anchors = rows.select("content").mapInArrow(_anchors(window, anchor, log2), "bucket int, hashes binary")
     bits = min(MOST_BITS, max(22, log2 + 18))
@@ -293,5 +295,19 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     windows = rows.select("content", "shard").mapInArrow(_windows(window, anchor, bits, shared, parts), "bucket int, hashes binary, shards binary")
     confirmed = windows.groupBy("bucket").applyInPandas(_confirmed, "shard int, hashes binary")
     together = rows.groupBy("shard").cogroup(confirmed.groupBy("shard"))
-    out = together.applyInPandas(_remove(window), "row_id long, n_words long, n_removed long, kept_text string")
+    out = together.applyInPandas(_remove(window, as_it_was), "row_id long, " + "carried string, " * bool(carried) + "n_words long, n_removed long, kept_text string")
     return out.withColumnRenamed("row_id", id_col)
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """docs with kept_text as the text of each row that lost words, and length_col as its new length; other rows and columns stay as they are."""
+    others = [c for c in docs.columns if c != text_col]
+    whole = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.to_json(F.struct(F.struct(*others).alias("row"), F.col(text_col).isNull().alias("bare"))).alias("_others"))
+    out = remove_repeated(whole, "_id", "_text", carried="_others", as_it_was=True)
+    kept = StructType([StructField("row", StructType([docs.schema[c] for c in others])), StructField("bare", BooleanType())])
+    out = out.withColumn("_others", F.from_json("carried", kept))
+    changed = F.col("n_removed") > 0
+    columns = {c: F.when(~F.col("_others.bare"), F.col("kept_text")) if c == text_col else F.col("_others.row")[c] for c in docs.columns}
+    if length_col in columns:
+        columns[length_col] = F.when(changed, F.length("kept_text").cast(docs.schema[length_col].dataType)).otherwise(columns[length_col])
+    return out.select(*(x.alias(c) for c, x in columns.items()))
