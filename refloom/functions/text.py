@@ -1,0 +1,210 @@
+"""Scalar text functions as Column expressions. Only what Spark has no function for is an Arrow UDF."""
+
+from __future__ import annotations
+
+import html
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# The grammar of DOIs and of citation text that results must agree on.
+DOI_TOKEN = r"""10\.\d{4,9}/(?:[^\s,;；()（）"']+|\([^\s()]*\))+"""
+DOI_PREFIX = r"(?:https?://(?:dx\.)?doi\.org/|doi\s*[:：]\s*)?"
+PAREN_GROUP = r"[（(]((?:[^（）()]|\([^（）()]*\))*)[）)]"
+NUMBER_CELL = r"^\s*[\[(]?\s*\d{1,3}(\s*[-–,;]\s*\d{1,3})*\s*[\])]?\s*$"
+CITATION_CELL = r"[\[(]\s*\d{1,3}(\s*[,;–-]\s*\d{1,3})*\s*[\])]"
+TRAILING = ".,;；。 "
+HIGH_CONFIDENCE = 0.6
+
+# Names of citation styles, in order of preference, and the id of the style each stands for.
+STYLE_BASE = "http://www.zotero.org/styles/"
+STYLE_ALIASES = (
+    ("apa", "apa"), ("ieee", "ieee"), ("nature", "nature"), ("vancouver", "vancouver"), ("chicago", "chicago-author-date"),
+    ("harvard", "harvard-cite-them-right"), ("mla", "modern-language-association"),
+    ("american medical association", "american-medical-association"), ("gb7714", "gb7714-2015-numeric"),
+    ("gb-t 7714", "gb7714-2015-numeric"), ("国标", "gb7714-2015-numeric"), ("numeric", "ieee"),
+)
+
+_CJK = "[一-鿿]"
+
+
+def col(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def let(c: Column, use) -> Column:
+    """use(c) with c evaluated once, however often use refers to it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def strip(c) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+
+
+def count_of(c: Column, char: str) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit(char), F.lit("")))
+
+
+def _without_trailing(c: Column) -> Column:
+    return F.regexp_replace(c, "[" + re.escape(TRAILING) + "]+$", "")
+
+
+def _drop_unopened(opening: str, closing: str):
+    def step(text: Column, _: Column) -> Column:
+        loose = text.endswith(closing) & (count_of(text, closing) > count_of(text, opening))
+        return F.when(loose, _without_trailing(F.left(text, F.length(text) - 1))).otherwise(text)
+
+    return step
+
+
+def _balanced(opening: str, closing: str):
+    def whole(text: Column) -> Column:
+        surplus = F.greatest(count_of(text, closing) - count_of(text, opening), F.lit(0)).cast("int")
+        return F.aggregate(F.array_repeat(F.lit(0), surplus), text, _drop_unopened(opening, closing))
+
+    return whole
+
+
+def normalize_doi(c) -> Column:
+    """A DOI in lower case without label, URL, surrounding punctuation or a closing parenthesis that nothing opens. Null gives the empty string."""
+    text = strip(F.regexp_replace(strip(F.coalesce(col(c).cast("string"), F.lit(""))), "^[(（]+", ""))
+    text = _without_trailing(F.regexp_replace(text, "(?i)^" + DOI_PREFIX, ""))
+    for opening, closing in (("(", ")"), ("（", "）")):
+        text = let(text, _balanced(opening, closing))
+    return F.lower(text)
+
+
+def doi_tokens(c) -> Column:
+    """All DOIs in a text, as written."""
+    return F.regexp_extract_all(col(c), F.lit(f"(?i)({DOI_TOKEN})"), 1)
+
+
+def first_doi(c) -> Column:
+    """The first DOI, normalised, or null."""
+    return F.nullif(normalize_doi(F.regexp_extract(col(c), f"(?i)({DOI_TOKEN})", 1)), F.lit(""))
+
+
+def is_cjk(c) -> Column:
+    return col(c).rlike(_CJK)
+
+
+# Latin letters with marks and what is left of them; all others are taken apart by the exact UDF below.
+_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
+_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+
+
+def normalize_title(c) -> Column:
+    """Lower case with marks folded, then only a-z, 0-9 and CJK ideographs. Exact for Latin and CJK text; see normalize_title_exact()."""
+    return F.regexp_replace(F.translate(F.lower(F.coalesce(col(c), F.lit(""))), _MARKED, _PLAIN), "[^a-z0-9一-鿿]", "")
+
+
+@F.pandas_udf("string")
+def normalize_title_exact(s: pd.Series) -> pd.Series:
+    """normalize_title() with full compatibility decomposition, for text beyond Latin letters."""
+    return s.map(lambda x: re.sub("[^a-z0-9一-鿿]", "", unicodedata.normalize("NFKD", x).lower()) if x else "")
+
+
+def title_words(c) -> Column:
+    """Distinct words of a title: Latin words, runs of ideographs and their pairs."""
+    folded = F.translate(F.lower(F.coalesce(col(c), F.lit(""))), _MARKED, _PLAIN)
+    return let(folded, lambda t: F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit("([a-z]+)"), 1), let(F.regexp_extract_all(t, F.lit(f"({_CJK}+)"), 1), _runs_and_pairs))))
+
+
+def _runs_and_pairs(runs: Column) -> Column:
+    def pairs(run: Column) -> Column:
+        return F.transform(F.slice(F.split(run, ""), 1, F.greatest(F.length(run) - 1, F.lit(0))), lambda _, i: F.substring(run, i + 1, F.lit(2)))
+
+    return F.concat(runs, F.flatten(F.transform(runs, pairs)))
+
+
+# The entities that clean_markup() resolves natively.
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&#8209;", "‑"), ("&amp;", "&"))
+
+
+def clean_markup(c) -> Column:
+    """Without tags, common entities resolved, white space collapsed."""
+    text = F.regexp_replace(col(c), "<[^>]+>", "")
+    for name, char in _ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+@F.pandas_udf("string")
+def clean_markup_exact(s: pd.Series) -> pd.Series:
+    """clean_markup() with every named and numbered entity."""
+    return s.map(lambda x: re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]+>", "", x))).strip() if x else x)
+
+
+_RTF = re.compile(r"\\(?:uc0\\)?u(-?\d+)\{\}")
+
+
+def _unescape(x: str | None) -> str | None:
+    return _RTF.sub(lambda m: chr(int(m.group(1)) % 65536), x) if x else x
+
+
+@F.pandas_udf("string")
+def rtf_unescape(s: pd.Series) -> pd.Series:
+    r"""Characters for escapes such as \uc0舑{}; the number is decimal."""
+    return s.map(_unescape)
+
+
+@F.pandas_udf("string")
+def canonical(s: pd.Series) -> pd.Series:
+    """rtf_unescape() in composed form, for comparing displays."""
+    return s.map(lambda x: unicodedata.normalize("NFC", _unescape(x) or ""))
+
+
+def base_ref_key(surname, year) -> Column:
+    """Surname and year of a key; anon and nodate where there is none."""
+    name, when = normalize_title(surname), normalize_title(F.coalesce(col(year).cast("string"), F.lit("")))
+    return F.concat(F.coalesce(F.nullif(name, F.lit("")), F.lit("anon")), F.coalesce(F.nullif(when, F.lit("")), F.lit("nodate")))
+
+
+def confidence_level(score) -> Column:
+    return F.when(col(score) >= HIGH_CONFIDENCE, "HIGH").when(col(score) > 0, "LOW").otherwise("UNKNOWN")
+
+
+def style_id(name) -> Column:
+    """The style a name stands for: an equal alias first, else the first alias inside it, else null. No name gives APA."""
+    aliases = [("".join(ch for ch in alias if ch.isalnum()), STYLE_BASE + style) for alias, style in STYLE_ALIASES]
+
+    def choose(wanted: Column) -> Column:
+        return F.coalesce(*(F.when(wanted == a, F.lit(s)) for a, s in aliases), *(F.when(wanted.contains(a), F.lit(s)) for a, s in aliases))
+
+    return F.when(F.coalesce(col(name), F.lit("")) == "", F.lit(aliases[0][1])).otherwise(let(normalize_title(name), choose))
+
+
+def item_key(uri) -> Column:
+    """What follows the last /items/ of a URI, or the whole."""
+    return F.substring_index(col(uri), "/items/", -1)
+
+
+def item_uri(key, stored, prefix: str | None, default: str) -> Column:
+    """An explicit prefix beats the stored URI, which beats the default prefix."""
+    if prefix:
+        return F.concat(F.lit(prefix), col(key))
+    return F.coalesce(F.nullif(col(stored), F.lit("")), F.concat(F.lit(default), col(key)))
+
+
+def item_key_in(text) -> Column:
+    """An eight-character item key: the whole text or the first such word in it."""
+    t = strip(text)
+    return F.when(t.rlike("^[0-9A-Za-z]{8}$"), t).otherwise(F.nullif(F.regexp_extract(t, r"\b([0-9A-Za-z]{8})\b", 1), F.lit("")))
+
+
+def cell_kind(text, has_field) -> Column:
+    """What a table cell holds: field, doi, number, citation, text or nothing (null)."""
+    t = strip(text)
+    return (
+        F.when(col(has_field), "field").when(t == "", None).when(t.rlike(f"(?i){DOI_TOKEN}"), "doi").when(t.rlike(NUMBER_CELL), "number")
+        .when(t.rlike(CITATION_CELL) & (F.length(t) < 60), "citation").otherwise("text")
+    )
+
+
+def payload_text(instruction) -> Column:
+    """The JSON object in an instruction, from its first brace to its last, or null."""
+    return F.nullif(F.regexp_extract(col(instruction), r"(?s)\{.*\}", 0), F.lit(""))
