@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from refloom.functions.arrow import arrow
+
 # The grammar of DOIs and of citation text that results must agree on.
 DOI_TOKEN = r"""10\.\d{4,9}/(?:[^\s,;；()（）"']+|\([^\s()]*\))+"""
 DOI_PREFIX = r"(?:https?://(?:dx\.)?doi\.org/|doi\s*[:：]\s*)?"
@@ -102,7 +104,7 @@ def normalize_title(c) -> Column:
     return F.regexp_replace(F.translate(F.lower(F.coalesce(col(c), F.lit(""))), _MARKED, _PLAIN), "[^a-z0-9一-鿿]", "")
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def normalize_title_exact(s: pd.Series) -> pd.Series:
     """normalize_title() with full compatibility decomposition, for text beyond Latin letters."""
     return s.map(lambda x: re.sub("[^a-z0-9一-鿿]", "", unicodedata.normalize("NFKD", x).lower()) if x else "")
@@ -133,7 +135,7 @@ def clean_markup(c) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def clean_markup_exact(s: pd.Series) -> pd.Series:
     """clean_markup() with every named and numbered entity."""
     return s.map(lambda x: re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]+>", "", x))).strip() if x else x)
@@ -146,13 +148,13 @@ def _unescape(x: str | None) -> str | None:
     return _RTF.sub(lambda m: chr(int(m.group(1)) % 65536), x) if x else x
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def rtf_unescape(s: pd.Series) -> pd.Series:
     r"""Characters for escapes such as \uc0舑{}; the number is decimal."""
     return s.map(_unescape)
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def canonical(s: pd.Series) -> pd.Series:
     """rtf_unescape() in composed form, for comparing displays."""
     return s.map(lambda x: unicodedata.normalize("NFC", _unescape(x) or ""))
