@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Python functions travel to the executors by value, so the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules["refloom"])
-
 _SCRATCH: list[str] = []
 _ROOT: dict[str, str] = {}
 
 
 def worker_state() -> types.ModuleType:
     """A module of this Python process that outlives the single task; caches in it are bounded by their owners."""
+    if "_refloom_worker_state" not in sys.modules:
+        _give_memory_back()
     return sys.modules.setdefault("_refloom_worker_state", types.ModuleType("_refloom_worker_state"))
 
 
+def _give_memory_back() -> None:
+    """Have the C library return freed blocks of 4 MB and more at once; a reused worker else keeps its largest task's memory."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):
+        return
+    mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+    mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+
+
 def small_batches(spark: SparkSession, mb: int = 4, rows: int = 2000) -> None:
     """Bound what one Arrow batch may hold, so a worker's memory depends neither on row count nor on row length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

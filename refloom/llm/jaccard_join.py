@@ -84,9 +84,16 @@ def _counts(cells_log2: int, slices_log2: int):
 
     def run(batches):
         table = np.zeros(1 << cells_log2, np.int64)
+        kept, n = [], 0
         for b in batches:
             for _, _, _, h in shingle_sets(b.column("content")):
-                table += np.bincount((h >> _U(64 - cells_log2)).astype(np.int64), minlength=len(table))
+                kept.append((h >> _U(64 - cells_log2)).astype(np.int64))
+                n += len(h)
+                if n > FLUSH:
+                    table += np.bincount(np.concatenate(kept), minlength=len(table))
+                    kept, n = [], 0
+        if kept:
+            table += np.bincount(np.concatenate(kept), minlength=len(table))
         size = len(table) >> slices_log2
         parts = [table[k * size : (k + 1) * size].astype("<u4").tobytes() for k in range(1 << slices_log2)]
         yield pa.RecordBatch.from_pydict({"slice": pa.array(range(len(parts)), pa.int32()), "counts": pa.array(parts, pa.binary())})

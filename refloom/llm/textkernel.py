@@ -13,7 +13,7 @@ import pyarrow as pa
 from refloom.llm.common import worker_state
 
 #: Bytes of text that are taken apart at a time; each needs about 60 bytes of memory while it is.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 17
 
 _U = np.uint64
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03

@@ -9,6 +9,7 @@ verifies the total length and decodes the chunks.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 
@@ -90,6 +91,11 @@ def records(page_id: int | None, url: str | None, payload: bytes, sha1: str, kee
     return out
 
 
+def unpacked(data: bytes) -> bytes:
+    """An archive's records, from a plain file or one or more gzip members."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def parse(data: bytes):
     """(fields by lower-case name, block) of every record of an archive."""
     at, end = 0, len(data)
@@ -140,7 +146,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     keepers = keepers.where(F.col("n") > 1).select("sha1", "keeper")
     built = rows.join(keepers, "sha1", "left").mapInArrow(_build(segment_bytes), "record binary")
     # two line breaks end a record; a string column is written byte by byte as it is
-    built.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    built.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 _PARSED = "record_id string, origin string, segment int, total long, page_id long, type string, refers_to long, digest string, block binary"
@@ -150,7 +156,7 @@ def _parsed(batches):
     for b in batches:
         for content in b.column("content"):
             rows = []
-            for f, block in parse(content.as_buffer().to_pybytes()):
+            for f, block in parse(unpacked(content.as_buffer().to_pybytes())):
                 number = f.get("warc-segment-number")
                 origin = f.get("warc-segment-origin-id") or (f["warc-record-id"] if number else None)
                 total, page, refers = (None if x is None else int(x) for x in (f.get("warc-segment-total-length"), f.get("warc-page-id"), f.get("warc-refers-to-page-id")))
@@ -212,7 +218,7 @@ def read_archives(spark, path: str) -> DataFrame:
     digest that does not fit raises WarcError. No archive gives an empty result.
     """
     small_batches(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
     parsed = files.mapInArrow(_parsed, _PARSED)
     whole = parsed.where(F.col("origin").isNull()).withColumn("segments", F.lit(None).cast("array<struct<segment:int,total:bigint,block:binary>>"))
     columns = ("page_id", "type", "refers_to", "digest", "block", "segments")
