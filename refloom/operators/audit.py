@@ -33,7 +33,7 @@ def reconcile(groups: DataFrame, citations: DataFrame, mapping: DataFrame, order
 
 
 def reconciliation_totals(problems: DataFrame) -> DataFrame:
-    return problems.agg(F.count(F.lit(1)).alias("total"), F.count_if("why is null").alias("matched"), F.count_if("why is not null").alias("problems"))
+    return problems.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.expr("why is null")).alias("matched"), F.count_if(F.expr("why is not null")).alias("problems"))
 
 
 def verify_items(items: DataFrame, valid_keys: DataFrame) -> DataFrame:

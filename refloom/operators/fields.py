@@ -72,7 +72,7 @@ def id_number(citation_id, prefix: str) -> Column:
 def citation_id_stats(ids: DataFrame, partition: list[str], column: str = "citation_id") -> DataFrame:
     """(partition, n, n_unique, n_duplicated, max_numeric) of non-empty ids; max_numeric is -1 without any citN."""
     each = ids.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy(*partition, column).agg(F.count(F.lit(1)).alias("c"))
-    return each.groupBy(*partition).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_unique"), F.count_if("c > 1").alias("n_duplicated"), F.coalesce(F.max(id_number(column, "cit")), F.lit(-1)).alias("max_numeric"))
+    return each.groupBy(*partition).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_unique"), F.count_if(F.expr("c > 1")).alias("n_duplicated"), F.coalesce(F.max(id_number(column, "cit")), F.lit(-1)).alias("max_numeric"))
 
 
 def duplicate_ids(ids: DataFrame, partition: list[str], column: str = "citation_id") -> DataFrame:

@@ -56,7 +56,7 @@ def summary(resolved: DataFrame) -> DataFrame:
 
 def statistics(resolved: DataFrame, dedup: DataFrame, imported: DataFrame) -> DataFrame:
     """One row: total, resolved, low_confidence, dups, imported, skipped, warnings."""
-    a = resolved.agg(F.count(F.lit(1)).alias("total"), F.count_if("not resolve_error").alias("resolved"), F.count_if(F.col("confidence") < T.HIGH_CONFIDENCE).alias("low_confidence"))
-    b = dedup.agg(F.count_if("status != 'none'").alias("dups"))
-    c = imported.agg(F.count_if("outcome not in ('skipped', 'warning')").alias("imported"), F.count_if("outcome = 'warning'").alias("warnings"))
+    a = resolved.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.expr("not resolve_error")).alias("resolved"), F.count_if(F.col("confidence") < T.HIGH_CONFIDENCE).alias("low_confidence"))
+    b = dedup.agg(F.count_if(F.expr("status != 'none'")).alias("dups"))
+    c = imported.agg(F.count_if(F.expr("outcome not in ('skipped', 'warning')")).alias("imported"), F.count_if(F.expr("outcome = 'warning'")).alias("warnings"))
     return reduce(lambda x, y: x.join(F.broadcast(y)), (a, b, c)).withColumn("skipped", F.col("total") - F.col("imported"))  # one row each
