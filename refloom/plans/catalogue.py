@@ -415,7 +415,7 @@ def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS_SQL = "list_distinct(regexp_extract_all(lower(title), '[a-z]+'))"
 
 
-@query(f"""select raw_text as ref_key, cast(part % 2 as int) as ord, round(cast(0.4::double + case when part % 3 <> 0 then 0.3::double else 0.0::double end + 0.3::double * (cast(len({_WORDS_SQL}) as double) / (len({_WORDS_SQL}) + 1)) as decimal(38, 17)), 2)::double as score
+@query(f"""select raw_text as ref_key, cast(part % 2 as int) as ord, round(cast(cast(0.4::double + case when part % 3 <> 0 then 0.3::double else 0.0::double end + 0.3::double * (cast(len({_WORDS_SQL}) as double) / (len({_WORDS_SQL}) + 1)) as varchar) as decimal(20, 17)), 2)::double as score
   from (select distinct raw_text, part, title from corpus) q""")
 def confidence_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _refs(spark, sf_dir)
@@ -424,7 +424,7 @@ def confidence_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""select raw_text as ref_key, case when supp % 2 = 0 then 'doi' else 'search' end as provider,
-  case when supp % 2 = 0 then 1.0 else round(cast(0.4::double + case when part % 3 <> 0 then 0.3::double else 0.0::double end + 0.3::double * (cast(len({_WORDS_SQL}) as double) / (len({_WORDS_SQL}) + 1)) as decimal(38, 17)), 2)::double end as confidence
+  case when supp % 2 = 0 then 1.0 else round(cast(cast(0.4::double + case when part % 3 <> 0 then 0.3::double else 0.0::double end + 0.3::double * (cast(len({_WORDS_SQL}) as double) / (len({_WORDS_SQL}) + 1)) as varchar) as decimal(20, 17)), 2)::double end as confidence
   from (select distinct raw_text, part, supp, title from corpus) q""")
 def resolve_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _refs(spark, sf_dir)
@@ -436,7 +436,7 @@ def resolve_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
   v as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(strip_accents(text)), '[a-z]+'))) as word from documents),
   rare as (select word from w group by word having count(*) <= 3),
   c as (select distinct item_id, doc_id from w join v using (word) join rare using (word))
-  select item_id, doc_id, round(cast(cast(count(*) as double) / (select count(*) from w x where x.item_id = c.item_id) as decimal(38, 17)), 2)::double as overlap
+  select item_id, doc_id, round(cast(cast(cast(count(*) as double) / (select count(*) from w x where x.item_id = c.item_id) as varchar) as decimal(20, 17)), 2)::double as overlap
   from c join w using (item_id) join v using (doc_id, word) group by item_id, doc_id""")
 def title_overlap_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a benchmark text's words in each document that has one of its rare words."""
@@ -501,7 +501,7 @@ def doi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select count(*) as total, count(*) as resolved, count(*) filter (supp % 2 <> 0 and low) as low_confidence from (select distinct raw_text, supp, part,
-  round(cast(0.4::double + case when part % 3 <> 0 then 0.3::double else 0.0::double end + 0.3::double * (cast(len(list_distinct(regexp_extract_all(lower(title), '[a-z]+'))) as double) / (len(list_distinct(regexp_extract_all(lower(title), '[a-z]+'))) + 1)) as decimal(38, 17)), 2) < 0.6 as low from corpus) q""")
+  round(cast(cast(0.4::double + case when part % 3 <> 0 then 0.3::double else 0.0::double end + 0.3::double * (cast(len(list_distinct(regexp_extract_all(lower(title), '[a-z]+'))) as double) / (len(list_distinct(regexp_extract_all(lower(title), '[a-z]+'))) + 1)) as varchar) as decimal(20, 17)), 2) < 0.6 as low from corpus) q""")
 def resolve_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _refs(spark, sf_dir)
     stages = [_candidates(c.where("supp % 2 = 0"), "doi", 1), _candidates(c, "search", 2)]
