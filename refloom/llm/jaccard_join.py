@@ -29,6 +29,8 @@ THRESHOLD = Fraction(3, 4)
 #: Cells of the table of shingle counts that orders them: 2^16 to 2^22, four bytes each, whatever the corpus holds.
 LEAST_CELLS_LOG2, MOST_CELLS_LOG2 = 16, 22
 FLUSH = 1 << 19
+#: Rounds in which nodes meet at most ASKED nodes of a component of at least CROWD nodes in a list; what they leave apart is compared exactly after them.
+ROUNDS, ASKED, CROWD = 2, 8, 4
 
 _U = np.uint64
 
@@ -122,29 +124,29 @@ def count_table(rows: DataFrame, cells_log2: int) -> np.ndarray:
     return table
 
 
-_POSTED = "bucket int, tokens binary, groups binary, sizes binary, ids binary, sets binary"
+_POSTED = "bucket int, tokens binary, groups binary, sizes binary, places binary, ids binary, sets binary"
+_BLOBS = ("tokens", "groups", "sizes", "places", "ids", "sets")
 
 
 def _posted(shared, cells_log2: int, buckets: int):
     """Postings and members as blobs by bucket.
 
-    A posting is (32 bits of the shingle beyond the bucket, group, size and a bit: in the index part of the prefix);
-    a group posts once in a task. A member is (group, size, row id, hash of the whole set).
+    A posting is (32 bits of the shingle beyond the bucket, group, size, place in the prefix); a group posts once in a task. A member is (group, size, row id, hash of the whole set).
     """
 
     def flush(post, members):
-        token, group, size = (np.concatenate(x) for x in zip(*post, strict=True))
+        token, group, size, place = (np.concatenate(x) for x in zip(*post, strict=True))
         g2, s2, ids, sets = (np.concatenate(x) for x in zip(*members, strict=True))
         bucket, home = (token % _U(buckets)).astype(np.int64), (g2 % _U(buckets)).astype(np.int64)
         token = (token // _U(buckets)).astype("<u4")
         order, order2 = np.argsort(bucket, kind="stable"), np.argsort(home, kind="stable")
-        out = {k: [] for k in ("bucket", "tokens", "groups", "sizes", "ids", "sets")}
-        for key, rows, columns in ((bucket, order, {"tokens": token, "groups": group, "sizes": size}), (home, order2, {"groups": g2, "sizes": s2, "ids": ids, "sets": sets})):
+        out = {k: [] for k in ("bucket", *_BLOBS)}
+        for key, rows, columns in ((bucket, order, {"tokens": token, "groups": group, "sizes": size, "places": place}), (home, order2, {"groups": g2, "sizes": s2, "ids": ids, "sets": sets})):
             key = key[rows]
             start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
             for a, b in zip(start, np.append(start[1:], len(key)), strict=True):
                 out["bucket"].append(int(key[a]))
-                for name in ("tokens", "groups", "sizes", "ids", "sets"):
+                for name in _BLOBS:
                     out[name].append(columns[name][rows[a:b]].tobytes() if name in columns else None)
         return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in out.items()})
 
@@ -179,7 +181,7 @@ def _posted(shared, cells_log2: int, buckets: int):
                     seen.clear()
                 keep = new[of]
                 tokens, of, place = tokens[keep], of[keep], place[keep]
-                post.append((tokens, group[of], (size[of] * 2 + (place < index_length(size)[of])).astype("<u4")))
+                post.append((tokens, group[of], size[of].astype("<u4"), place.astype("<u4")))
                 n += len(tokens)
                 if n > FLUSH:
                     yield flush(post, members)
@@ -190,15 +192,15 @@ def _posted(shared, cells_log2: int, buckets: int):
     return run
 
 
-_MATCHED = "list long, grp long, size int, indexed boolean, score float, row_id long, whole long"
+_MATCHED = "list long, grp long, size int, place int, score float, row_id long, whole long"
 
 
 def _matched(batches):
     """Per bucket: lists of groups that share a shingle, and the bucket's members. Rows with a list are list entries."""
     key, post, members = None, [], []
     for b in batches:
-        columns = [b.column(n).to_pylist() for n in ("bucket", "tokens", "groups", "sizes", "ids", "sets")]
-        for bucket, tokens, groups, sizes, ids, sets in zip(*columns, strict=True):
+        columns = [b.column(n).to_pylist() for n in ("bucket", *_BLOBS)]
+        for bucket, tokens, groups, sizes, places, ids, sets in zip(*columns, strict=True):
             if bucket != key:
                 yield from _match(post, members)
                 key, post, members = bucket, [], []
@@ -206,7 +208,7 @@ def _matched(batches):
             if tokens is None:
                 members.append((g, s, np.frombuffer(ids, "<i8"), np.frombuffer(sets, "<u8")))
             else:
-                post.append((np.frombuffer(tokens, "<u4"), g, s))
+                post.append((np.frombuffer(tokens, "<u4"), g, s, np.frombuffer(places, "<u4")))
     yield from _match(post, members)
 
 
@@ -216,38 +218,39 @@ def _match(post, members):
         for at in range(0, len(g), 20_000):
             k = slice(at, at + 20_000)
             n = len(g[k])
-            yield pa.RecordBatch.from_pydict({"list": pa.nulls(n, pa.int64()), "grp": pa.array(g[k].view("<i8")), "size": pa.array(s[k].astype("<i4")), "indexed": pa.nulls(n, pa.bool_()), "score": pa.nulls(n, pa.float32()), "row_id": pa.array(ids[k]), "whole": pa.array(sets[k].view("<i8"))})
+            yield pa.RecordBatch.from_pydict({"list": pa.nulls(n, pa.int64()), "grp": pa.array(g[k].view("<i8")), "size": pa.array(s[k].astype("<i4")), "place": pa.nulls(n, pa.int32()), "score": pa.nulls(n, pa.float32()), "row_id": pa.array(ids[k]), "whole": pa.array(sets[k].view("<i8"))})
     if not post:
         return
-    token, group, size = (np.concatenate(x) for x in zip(*post, strict=True))
+    token, group, size, place = (np.concatenate(x) for x in zip(*post, strict=True))
     order = np.lexsort((group, token))
-    token, group, size = token[order], group[order], size[order]
+    token, group, size, place = token[order], group[order], size[order], place[order]
     each = np.append(True, (token[1:] != token[:-1]) | (group[1:] != group[:-1]))
-    token, group, size = token[each], group[each], size[each]
+    token, group, size, place = token[each], group[each], size[each], place[each]
     start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
     length = np.diff(np.append(start, len(token)))
-    shared = (length > 1) & (np.add.reduceat((size & 1).astype(np.int64), start) > 0)
+    early = place < index_length(size.astype(np.int64))
+    shared = (length > 1) & (np.add.reduceat(early.astype(np.int64), start) > 0)
     # a group's score is the share of its postings here that others have too
     names, of = np.unique(group, return_inverse=True)
     score = np.bincount(of, weights=np.repeat(shared, length)) / np.bincount(of)
     keep = np.repeat(shared, length)
-    token, group, size, score = token[keep], group[keep], size[keep], score[of[keep]].astype(np.float32)
-    if not len(token):
+    group, size, place, score, length = group[keep], size[keep], place[keep], score[of[keep]].astype(np.float32), length[shared]
+    if not len(group):
         return
-    start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    length = np.diff(np.append(start, len(token)))
-    # shingles of the same groups, in the same parts of their prefixes, make one list
-    name = mix(np.add.reduceat(mix(group ^ mix((size & 1).astype(_U) + _U(1))), start) + length.astype(_U))
-    _, one = np.unique(name, return_index=True)
+    start = np.cumsum(length) - length
+    # of shingles that the same groups share one list is enough: the first in the order, which stands first in all of them
+    name = mix(np.add.reduceat(mix(group), start) + length.astype(_U))
+    order = np.lexsort((np.add.reduceat(place.astype(np.int64), start), name))
     chosen = np.zeros(len(start), bool)
-    chosen[one] = True
+    chosen[order[np.append(True, name[order][1:] != name[order][:-1])]] = True
     keep = np.repeat(chosen, length)
-    name = np.repeat(name, length)[keep].view("<i8")
-    group, size, score = group[keep].view("<i8"), size[keep], score[keep]
+    # the place tells lists of the same groups from different buckets apart
+    name = np.repeat(mix(name + place[start].astype(_U)), length)[keep].view("<i8")
+    group, size, place, score = group[keep].view("<i8"), size[keep].astype("<i4"), place[keep].astype("<i4"), score[keep]
     for at in range(0, len(name), 20_000):
         k = slice(at, at + 20_000)
         n = len(name[k])
-        yield pa.RecordBatch.from_pydict({"list": pa.array(name[k]), "grp": pa.array(group[k]), "size": pa.array((size[k] >> 1).astype("<i4")), "indexed": pa.array((size[k] & 1) > 0), "score": pa.array(score[k]), "row_id": pa.nulls(n, pa.int64()), "whole": pa.nulls(n, pa.int64())})
+        yield pa.RecordBatch.from_pydict({"list": pa.array(name[k]), "grp": pa.array(group[k]), "size": pa.array(size[k]), "place": pa.array(place[k]), "score": pa.array(score[k]), "row_id": pa.nulls(n, pa.int64()), "whole": pa.nulls(n, pa.int64())})
 
 
 def _verified(threshold: Fraction):
@@ -263,8 +266,10 @@ def _verified(threshold: Fraction):
 
 
 def _fits(a: str, b: str, threshold: Fraction) -> F.Column:
-    """Can sets of these sizes be similar at all."""
-    return (F.least(a, b) * threshold.denominator) >= (F.greatest(a, b) * threshold.numerator)
+    """Can two sets be similar whose first common shingle stands at these places of sets of these sizes."""
+    up, down = threshold.numerator, threshold.numerator + threshold.denominator
+    left = F.least(F.col(f"size{a}") - F.col(f"place{a}"), F.col(f"size{b}") - F.col(f"place{b}"))
+    return left * down >= (F.col(f"size{a}") + F.col(f"size{b}")) * up
 
 
 class _Linker:
@@ -311,44 +316,49 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = matched.where(F.col("list").isNull())
     classes = written(members.groupBy("grp", "size", "whole").agg(F.min("row_id").alias("node")), "classes")
     of_groups = classes.select("grp", "node", F.col("size").alias("of_size"))
-    entries = matched.where(F.col("list").isNotNull()).join(of_groups.select("grp", "node"), "grp").select("list", "node", "size", "indexed", "score")
+    entries = matched.where(F.col("list").isNotNull()).join(of_groups.select("grp", "node"), "grp").select("list", "node", "size", "place", "score")
     crowded = W.partitionBy("grp")
     inside = classes.withColumn("n", F.count(F.lit(1)).over(crowded)).where(F.col("n") > 1)
-    inside = inside.select(F.xxhash64(F.col("grp"), F.lit("group")).alias("list"), "node", "size", F.lit(True).alias("indexed"), F.lit(1.0).cast("float").alias("score"))
+    inside = inside.select(F.xxhash64(F.col("grp"), F.lit("group")).alias("list"), "node", "size", F.lit(0).alias("place"), F.lit(1.0).cast("float").alias("score"))
     entries = written(entries.unionByName(inside), "entries")
     needed = entries.select("node").distinct()
     texts = written(named.join(needed, F.col("row_id") == F.col("node"), "left_semi").groupBy(F.col("row_id").alias("node")).agg(F.first("content").alias("content")), "texts")
     free_shuffles(texts)
     linker = _Linker(texts, threshold)
 
-    def pairs_with(best: DataFrame, of: DataFrame) -> DataFrame:
-        """Pairs of the entries of lists with one chosen entry (pivot, pivot_size) of each list."""
-        both = of.join(best, "list").where((F.col("node") != F.col("pivot")) & _fits("size", "pivot_size", threshold))
-        return both.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    def met(pairs: DataFrame) -> DataFrame:
+        return pairs.where((F.col("node") != F.col("node_p")) & _fits("", "_p", threshold)).select("node", F.col("node_p").alias("pivot"))
+
+    def ordered(pairs: DataFrame, one: str, two: str) -> DataFrame:
+        return pairs.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
 
-    rank = F.struct("score", (-F.col("node")).alias("less"), "size")
-    pivots = entries.groupBy("list").agg(F.max(rank).alias("best")).select("list", (-F.col("best.less")).alias("pivot"), F.col("best.size").alias("pivot_size"))
-    linker.verify(pairs_with(pivots, entries))
+    def as_pivot(struct: str) -> list:
+        return [F.col(f"{struct}.{c}").alias(f"{c}_p") for c in ("node", "size", "place")]
+
+    best = entries.groupBy("list").agg(F.max(F.struct("score", (-F.col("node")).alias("less"), "node", "size", "place")).alias("best"))
+    linker.verify(ordered(met(entries.join(best.select("list", *as_pivot("best")), "list")), "node", "pivot"))
 
     def labelled() -> DataFrame:
+        """The entries of lists whose nodes are not all connected yet."""
         found = entries.join(linker.components(), "node", "left").withColumn("component", F.coalesce("component", "node"))
         apart = found.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("list")
         return written(found.join(apart, "list"), "labelled")
 
-    # what is still apart meets the best members of the largest component of its list
-    for turn in range(2):
+    # what is still apart from the largest component of its lists meets some of that component's nodes, others in each list
+    for _ in range(ROUNDS):
         found = labelled()
-        sizes = found.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("h") if turn else F.col("score").alias("h"), "node", "size")).alias("best"))
-        main = sizes.groupBy("list").agg(F.max(F.struct("n", "component", "best")).alias("m")).where(F.col("m.n") > 8)
-        main = main.select("list", F.col("m.component").alias("main"), F.col("m.best.node").alias("pivot"), F.col("m.best.size").alias("pivot_size"))
-        linker.verify(pairs_with(main, found.join(main.select("list", "main"), "list").where(F.col("component") != F.col("main")).drop("main")))
-
+        sizes = found.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("list", "node").alias("h"), "node", "size", "place")).alias("one"))
+        main = sizes.groupBy("list").agg(F.max(F.struct("n", "component", "one")).alias("m")).where(F.col("m.n") >= CROWD)
+        main = main.select("list", F.col("m.component").alias("main"), *as_pivot("m.one"))
+        asked = met(found.join(main, "list").where(F.col("component") != F.col("main"))).distinct()
+        asked = asked.withColumn("n", F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("node", "pivot")))).where(F.col("n") <= ASKED)
+        linker.verify(ordered(asked, "node", "pivot"))
+
+    # the rest, exactly: every pair that may be similar and is not connected
     found = labelled()
-    left, right = (found.select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "indexed", "component"))) for s in ("a", "b"))
-    across = left.join(right, "list").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _fits("size_a", "size_b", threshold))
-    # the smaller set has the shingle in the index part of its prefix
-    across = across.where(F.when(F.col("size_a") < F.col("size_b"), F.col("indexed_a")).when(F.col("size_a") > F.col("size_b"), F.col("indexed_b")).otherwise(F.col("indexed_a") | F.col("indexed_b")))
-    linker.verify(across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    left, right = (found.select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "place", "component"))) for s in ("a", "b"))
+    across = left.join(right, "list").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _fits("_a", "_b", threshold))
+    linker.verify(ordered(across, "node_a", "node_b"))
 
     by_class = classes.join(linker.components(), "node", "left").select("grp", "size", "whole", F.coalesce("component", "node").alias("component_id"))
     linked = members.join(by_class, ["grp", "size", "whole"]).select("row_id", F.col("size").cast("long").alias("n_shingles"), "component_id")
