@@ -99,17 +99,12 @@ def first_use_id(uses: DataFrame, partition: list[str], key: str, order: list[st
     return first.withColumn("item_id", F.row_number().over(W.partitionBy(*partition).orderBy("_first", key))).drop("_first")
 
 
-def relinked(uris: Column, replacements: Column) -> Column:
-    """URIs with the keys that a map names replaced."""
-    return F.transform(uris, lambda u: F.when(F.map_contains_key(replacements, item_key(u)), F.concat(F.regexp_replace(u, "/items/(?!.*/items/).*$|^((?!/items/).)*$", ""), F.lit("/items/"), F.try_element_at(replacements, item_key(u)))).otherwise(u))
-
-
 def relink(citations: DataFrame, replacements: DataFrame, key: list[str]) -> DataFrame:
     """citations (*key, uris) with new_uris and touched, by replacements (old, new); a replacement table of any size is joined."""
-    each = citations.select(*key, F.posexplode("uris").alias("no", "uri"))
-    joined = each.withColumn("old", item_key("uri")).join(replacements, "old", "left")
-    moved = F.when(F.col("new").isNotNull(), F.concat(F.left("uri", F.length("uri") - F.length("old")), F.col("new"))).otherwise(F.col("uri"))
-    new = joined.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("no", moved.alias("uri")))).alias("u"), F.max(F.col("new").isNotNull()).alias("touched"))
+    each = citations.select(*key, F.posexplode("uris").alias("_no", "_uri"))
+    joined = each.withColumn("old", item_key("_uri")).join(replacements, "old", "left")
+    moved = F.when(F.col("new").isNotNull(), F.concat(F.left("_uri", F.length("_uri") - F.length("old")), F.col("new"))).otherwise(F.col("_uri"))
+    new = joined.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_no", moved.alias("uri")))).alias("u"), F.max(F.col("new").isNotNull()).alias("touched"))
     return new.select(*key, F.transform("u", lambda x: x["uri"]).alias("new_uris"), "touched")
 
 
