@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import tempfile
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,16 @@ def _give_memory_back() -> None:
     mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
 
 
+def give_back_freed() -> None:
+    """Return what this process has freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def small_batches(spark: SparkSession, mb: int = 4, rows: int = 2000) -> None:
     """Bound what one Arrow batch may hold, so a worker's memory depends neither on row count nor on row length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

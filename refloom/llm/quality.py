@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import small_batches, whole_text
+from refloom.llm.common import give_back_freed, small_batches, whole_text
 from refloom.llm.textkernel import _BYTE_BASE, Words, _powers, _tables, mix, words
 
 BUCKETS = 1 << 18
@@ -78,17 +78,17 @@ class Model:
         return (self.vectors @ (self.weights[1] - self.weights[0])).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
-def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(distinct buckets, share of the text's features) of each text."""
-    out = []
+def bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds, distinct buckets, shares): between its bounds each text has its buckets and their shares of its features."""
+    bounds, ids, shares = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
     for _, n, w in words(pa.array(texts, pa.string())):
         doc, bucket = features(w)
         key, count = np.unique(doc * BUCKETS + bucket, return_counts=True)
-        bounds = np.searchsorted(key, np.arange(n + 1) * BUCKETS)
-        for i in range(n):
-            ids, c = key[bounds[i] : bounds[i + 1]] % BUCKETS, count[bounds[i] : bounds[i + 1]]
-            out.append((ids.astype(np.int32), (c / max(1, c.sum())).astype(np.float32)))
-    return out
+        of = key // BUCKETS
+        bounds.append(bounds[-1][-1] + np.searchsorted(of, np.arange(1, n + 1)))
+        ids.append((key % BUCKETS).astype(np.int32))
+        shares.append((count / np.bincount(doc, minlength=n)[of]).astype(np.float32))
+    return np.concatenate(bounds), np.concatenate(ids), np.concatenate(shares)
 
 
 def train(texts: list[str | None], labels: list[int], updates: int = UPDATES, rate: float = RATE, seed: int = SEED) -> Model:
@@ -104,10 +104,10 @@ def train(texts: list[str | None], labels: list[int], updates: int = UPDATES, ra
     if y.min() == y.max():
         return Model(vectors, weights, bias)
     weights[:] = rng.normal(0, 0.1, weights.shape)
-    data, done = bags(texts), 0
+    (bounds, all_ids, all_shares), done = bags(texts), 0
     while done < updates:
         for i in rng.permutation(len(y)):
-            ids, share_of = data[i]
+            ids, share_of = all_ids[bounds[i] : bounds[i + 1]], all_shares[bounds[i] : bounds[i + 1]]
             step = rate * max(0.05, 1 - done / updates)
             done += 1
             if not len(ids):
@@ -184,7 +184,15 @@ def keep_good(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     return docs.mapInArrow(run, docs.schema)
 
 
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model of the training sample. What training held goes back to the system, as the driver lives on."""
+    sample = training_sample(docs, labels, id_col=id_col, text_col=text_col)
+    model = train(sample["content"].tolist(), sample["quality"].tolist())
+    del sample
+    give_back_freed()
+    return model
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on labels and score all of docs."""
-    sample = training_sample(docs, labels, id_col=id_col, text_col=text_col)
-    return score(docs, train(sample["content"].tolist(), sample["quality"].tolist()), id_col, text_col)
+    return score(docs, fit(docs, labels, id_col, text_col), id_col, text_col)
