@@ -15,8 +15,7 @@ from refloom.llm.queries import WORD_BPE
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     release_scratch(spark, docs)
-    sample = quality.training_sample(docs, table(spark, sf_dir, "labels"))
-    return quality.keep_good(docs, quality.train(sample["content"].tolist(), sample["quality"].tolist()))
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
