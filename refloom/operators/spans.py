@@ -146,19 +146,38 @@ def author_position(part, surname) -> Column:
     return F.coalesce(_position(p, s), F.when(s.contains(" "), _position(p, F.element_at(F.split(s, r"\s+"), -1))))
 
 
-def _small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A mapping to be broadcast if it has at most most rows of a few short columns, else joined by a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Mapping rows up to which they are broadcast, and from which parts are matched on letter pairs beside the year.
+MOST_BROADCAST, LEAST_BLOCKED = 1_000_000, 2_000
 
 
-def match_author_year(parts: DataFrame, mapping: DataFrame, key: list[str]) -> DataFrame:
-    """(*key, ref_key) of parts (*key, text, year): the earliest surname in the part, ties by key; agency parts go to the flagged row."""
-    index = _small(author_index(mapping))
-    hits = parts.join(index, "year").withColumn("at", author_position("text", "surname")).where("at is not null")
-    best = hits.groupBy(*key).agg(F.min(F.struct("at", "ref_key")).alias("best")).select(*key, F.col("best.ref_key").alias("by_author"))
-    flagged = mapping.where("is_nih").agg(F.max_by("ref_key", "ord").alias("flagged"))
-    agency = parts.where(F.col("text").rlike(AGENCY)).select(*key).join(F.broadcast(flagged)).where("flagged is not null")  # one row
-    return best.join(agency, key, "full").select(*key, F.coalesce("flagged", "by_author").alias("ref_key"))
+def _sized(df: DataFrame) -> tuple[DataFrame, int]:
+    """A mapping, to be broadcast if it has at most MOST_BROADCAST rows of a few short columns, and how many it has (one more at most)."""
+    n = df.limit(MOST_BROADCAST + 1).count()
+    return (F.broadcast(df) if n <= MOST_BROADCAST else df), n
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return _sized(df)[0]
+
+
+def _pairs_in(text: Column) -> Column:
+    """Distinct pairs of neighbouring characters of a text, and its single characters that are ideographs."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))
+    return F.array_distinct(F.concat(pairs, F.regexp_extract_all(text, F.lit("([一-鿿])"), 1)))
+
+
+def with_author_hits(parts: DataFrame, mapping: DataFrame) -> DataFrame:
+    """parts (text, year, …) once for each mapping row that may be meant, with surname and hit_key; once with nulls where none is.
+
+    A row is met through its year; if there are many rows, also through the last two letters of its surname, which
+    must stand in the part.
+    """
+    index, n = _sized(author_index(mapping).withColumnRenamed("ref_key", "hit_key"))
+    if n < LEAST_BLOCKED:
+        return parts.join(index, "year", "left")
+    blocked = index.withColumn("pair", F.right(F.lower(F.element_at(F.split("surname", r"\s+"), -1)), F.lit(2)))
+    rows = parts.withColumn("pair", F.explode_outer(F.when(F.col("year").isNotNull(), T.let(F.lower("text"), _pairs_in))))
+    return rows.join(F.broadcast(blocked) if n <= MOST_BROADCAST else blocked, ["year", "pair"], "left").drop("pair")
 
 
 SPAN = "struct<start:int,end:int,display:string,keys:array<string>>"
@@ -185,25 +204,36 @@ def find_citations(texts: DataFrame, mapping: DataFrame, text_map: DataFrame | N
     spans come first; a text that is one known DOI as a whole is one span; else DOI groups and literals are added
     where they overlap nothing. A group with any DOI-like part that is unknown is rejected as a whole.
     """
-    place, key = ["doc_id", "para"], ["doc_id", "para", "kind", "start"]
-    found = texts.withColumn("c", F.explode(candidates("text"))).select(*place, "c.*")
-    parts = found.select(*key, F.explode("parts").alias("p")).select(*key, "p.*")
-
-    dated = match_author_year(parts.where("kind in ('narrative', 'dated') and year is not null"), mapping, [*key, "no"])
-    dated = parts.where("kind in ('narrative', 'dated') and year is not null").join(dated, [*key, "no"], "left")
-    good = dated.groupBy(*key).agg(F.count_if(F.col("ref_key").isNull()).alias("missed"), F.array_sort(F.collect_list(F.when(F.col("ref_key").isNotNull(), F.struct("no", "ref_key")))).alias("keys")).where("missed = 0 and size(keys) > 0")
-
-    dois = parts.where("kind = 'group'").withColumn("norm", T.normalize_doi("doi"))
-    known = dois.join(_small(doi_index(mapping)).withColumnRenamed("doi", "norm"), "norm", "left")
-    broken = (F.col("doi").isNotNull() | F.col("looks_doi")) & F.col("ref_key").isNull()
-    groups = known.groupBy(*key).agg(F.count_if(broken).alias("missed"), F.array_sort(F.collect_list(F.when(F.col("ref_key").isNotNull(), F.struct("no", "ref_key")))).alias("keys"), F.count_if(F.col("doi").isNull()).alias("others"))
-    whole = groups.where("missed = 0 and size(keys) > 0")
-    accepted = good.select(*key, "keys").unionByName(whole.select(*key, "keys"))
-    spans = found.join(accepted, key).select(*key, F.col("end").cast("int"), "display", F.transform("keys", lambda k: k["ref_key"]).alias("keys"))
+    place = ["doc_id", "para"]
+    key = [*place, "kind", "start"]
+    found = texts.withColumn("c", F.explode(candidates("text"))).select(*place, "c.*").repartition(*place)  # what follows groups by more columns, on this partitioning
+    parts = found.select(*key, "end", "display", "inner", F.explode("parts").alias("p")).select(*key, "end", "display", "inner", "p.*")
+
+    # each part: the earliest surname, ties by key; an agency's parts go to the flagged row; or the item with its DOI
+    at = F.struct(author_position("text", "surname").alias("at"), "hit_key")
+    carried = ("end", "display", "inner", "text", "year", "doi", "looks_doi")
+    named = with_author_hits(parts, mapping).withColumn("hit", F.when(F.col("hit_key").isNotNull(), at))
+    named = named.groupBy(*key, "no").agg(F.min(F.when(F.col("hit.at").isNotNull(), F.col("hit"))).alias("hit"), *(F.first(c).alias(c) for c in carried))
+    flagged = mapping.where("is_nih").agg(F.max_by("ref_key", "ord").alias("flagged"))
+    named = named.join(F.broadcast(flagged)).withColumn("norm", F.when(F.col("doi").isNotNull(), T.normalize_doi("doi")))  # one row
+    named = named.join(_small(doi_index(mapping)).select(F.col("doi").alias("norm"), F.col("ref_key").alias("by_doi")), "norm", "left")
+    by_author = F.coalesce(F.when(F.col("text").rlike(AGENCY), F.col("flagged")), F.col("hit.hit_key"))
+    named = named.withColumn("ref_key", F.when(F.col("kind") == "group", F.col("by_doi")).when(F.col("year").isNotNull(), by_author))
+
+    # each candidate: all or nothing
+    must = F.when(F.col("kind") == "group", F.col("doi").isNotNull() | F.col("looks_doi")).otherwise(F.col("year").isNotNull())
+    judged = named.groupBy(*key).agg(
+        F.count_if(must & F.col("ref_key").isNull()).alias("missed"), F.count_if(F.col("doi").isNull()).alias("others"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("ref_key").isNotNull(), F.struct("no", "ref_key")))), lambda k: k["ref_key"]).alias("keys"), *(F.first(c).alias(c) for c in ("end", "display", "inner")),
+    )
+    good = (F.col("missed") == 0) & (F.size("keys") > 0)
     if text_map is not None:
-        literal = found.where("kind = 'group'").join(groups.where("others > 0").select(*key), key).join(whole.select(*key), key, "left_anti")
-        literal = literal.withColumn("literal", T.strip("inner")).join(_small(text_map).select(F.col("text").alias("literal"), "keys"), "literal")
-        spans = spans.unionByName(literal.select(*key, F.col("end").cast("int"), "display", "keys"))
+        literal = _small(text_map).select(F.col("text").alias("literal"), F.col("keys").alias("literal_keys"))
+        judged = judged.withColumn("literal", F.when((F.col("kind") == "group") & (F.col("others") > 0) & ~good, T.strip("inner"))).join(literal, "literal", "left")
+        judged = judged.withColumn("keys", F.when(good, F.col("keys")).otherwise(F.col("literal_keys"))).where("keys is not null")
+    else:
+        judged = judged.where(good)
+    spans = judged.select(*key, F.col("end").cast("int"), "display", "keys")
 
     standalone = texts.where(F.col("text").rlike(STANDALONE)).withColumn("norm", T.normalize_doi(F.regexp_extract("text", STANDALONE, 1)))
     standalone = standalone.join(_small(doi_index(mapping)).withColumnRenamed("doi", "norm"), "norm")
