@@ -17,8 +17,8 @@ CACHE_CHARS = 48
 # Between two of these characters a single space always starts a new pre-token of the byte-level pattern.
 _CUT_AT_SPACE = re.compile("(?<=[!-~À-ɏ])(?= [!-~À-ɏ])")
 # Where white space is dropped before the merges, ASCII white space always parts pre-tokens, and so does the
-# end of a word of Latin letters before white space or one of , . ; : ! ?
-_WORDS = re.compile("(?<![^ \\t\\n\\r])[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \\t\\n\\r,.;:!?]|\\Z)|[^ \\t\\n\\r]+")
+# end of a word of Latin letters before any other ASCII character but an apostrophe.
+_WORDS = re.compile("(?<![^ \\t\\n\\r])[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\\x00-&(-@\\[-`{-~]|\\Z)|[^ \\t\\n\\r]+")
 
 
 def _chunker(spec: dict):
