@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from refloom.functions.refs import year_in
-from refloom.functions.text import clean_markup, col, normalize_title, title_words
+from refloom.functions.text import clean_markup, col, let, normalize_title, or_null, title_words
 
 AUTHORS = "array<struct<family:string,given:string,literal:string>>"
 
@@ -30,7 +30,7 @@ def _looked_up(c, names: dict[str, str], default: str) -> Column:
 
 
 def _filled(c) -> Column:
-    return F.nullif(col(c).cast("string"), F.lit(""))
+    return or_null(col(c).cast("string"))
 
 
 def record_type(provider_type) -> Column:
@@ -129,14 +129,17 @@ def confidence(ref, csl) -> Column:
     """A struct of score (0 to 1, two decimals) and matched: first author 0.4, year 0.3, share of the record's title words 0.3."""
     r, c = col(ref), col(csl)
     theirs = F.get(c["author"], F.lit(0))
-    ours = normalize_title(F.get(r["authors"], F.lit(0))["family"])
-    name = normalize_title(F.coalesce(_filled(theirs["family"]), _filled(theirs["literal"]), F.lit("")))
-    author = (ours != "") & (name != "") & (name.contains(ours) | ours.contains(name))
-    year = (F.coalesce(r["year"], F.lit("")) != "") & (r["year"] == record_year(csl))
-    words = title_words(c["title"])
-    shared = F.size(F.array_intersect(title_words(r["title"]), words))
-    score = F.when(author, 0.4).otherwise(0.0) + F.when(year, 0.3).otherwise(0.0) + F.when(shared > 0, 0.3 * (shared / F.size(words))).otherwise(0.0)
-    matched = F.filter(F.array(F.when(author, "author"), F.when(year, "year"), F.when(shared > 0, "title")), lambda x: x.isNotNull())
+    facts = F.struct(
+        normalize_title(F.get(r["authors"], F.lit(0))["family"]).alias("ours"), normalize_title(F.coalesce(_filled(theirs["family"]), _filled(theirs["literal"]), F.lit(""))).alias("name"),
+        title_words(r["title"]).alias("asked"), title_words(c["title"]).alias("words"), ((F.coalesce(r["year"], F.lit("")) != "") & (r["year"] == record_year(csl))).alias("year"),
+    )
+    return let(facts, lambda f: let(F.size(F.array_intersect(f["asked"], f["words"])), lambda shared: _scored(f, shared)))
+
+
+def _scored(f: Column, shared: Column) -> Column:
+    author = (f["ours"] != "") & (f["name"] != "") & (f["name"].contains(f["ours"]) | f["ours"].contains(f["name"]))
+    score = F.when(author, 0.4).otherwise(0.0) + F.when(f["year"], 0.3).otherwise(0.0) + F.when(shared > 0, 0.3 * (shared / F.size(f["words"]))).otherwise(0.0)
+    matched = F.filter(F.array(F.when(author, "author"), F.when(f["year"], "year"), F.when(shared > 0, "title")), lambda x: x.isNotNull())
     return F.struct(F.round(F.least(score, F.lit(1.0)), 2).alias("score"), matched.alias("matched"))
 
 

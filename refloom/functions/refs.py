@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from refloom.functions.text import base_ref_key, col, first_doi, is_cjk, let, strip
+from refloom.functions.text import base_ref_key, col, first_doi, is_cjk, let, or_null, strip
 
 # How references are numbered and how their parts look.
 NUMBERED = r"^\s*(?:\[[0-9]+\]|\([0-9]+\)|[0-9]+[\.\)]\s?)"
@@ -20,13 +20,9 @@ def is_numbered(text) -> Column:
     return F.coalesce(col(text), F.lit("")).rlike(NUMBERED)
 
 
-def _or_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
-
-
 def year_in(c) -> Column:
     """The first year from 1900 to 2099 that stands alone, or null."""
-    return _or_null(F.regexp_extract(col(c), _U + YEAR, 1))
+    return or_null(F.regexp_extract(col(c), _U + YEAR, 1))
 
 
 def parse_reference(text) -> Column:
@@ -78,11 +74,14 @@ def _parsed(raw: Column, rest: Column) -> Column:
     clauses = F.filter(F.split(rest, r"\.\s+"), lambda x: strip(x) != "")
 
     def record(s: Column) -> Column:
-        word = _or_null(F.get(F.split(strip(F.coalesce(s["title"], F.lit(""))), _U + r"\s+"), F.lit(0)))
+        return let(year_in(rest), lambda year: dated(s, year))
+
+    def dated(s: Column, year: Column) -> Column:
+        word = or_null(F.get(F.split(strip(F.coalesce(s["title"], F.lit(""))), _U + r"\s+"), F.lit(0)))
         surname = F.when(F.size(s["authors"]) > 0, F.get(s["authors"], F.lit(0))["family"]).otherwise(F.coalesce(word, F.lit("anon")))
         return F.struct(
-            base_ref_key(surname, year_in(rest)).alias("base_key"), raw.alias("raw_text"), year_in(rest).alias("year"), s["title"].alias("title"), s["authors"].alias("authors"),
-            s["journal"].alias("journal"), first_doi(rest).alias("doi"), _or_null(F.regexp_extract(rest, _U + r"(?i)PMID[:#]?\s*(\d+)", 1)).alias("pmid"),
+            base_ref_key(surname, year).alias("base_key"), raw.alias("raw_text"), year.alias("year"), s["title"].alias("title"), s["authors"].alias("authors"),
+            s["journal"].alias("journal"), first_doi(rest).alias("doi"), or_null(F.regexp_extract(rest, _U + r"(?i)PMID[:#]?\s*(\d+)", 1)).alias("pmid"),
         )
 
     return let(let(clauses, _split_up), record)
@@ -91,7 +90,7 @@ def _parsed(raw: Column, rest: Column) -> Column:
 def bibliographic_query(ref) -> Column:
     """First family, title, journal and year of a parsed reference, for a search."""
     r = col(ref)
-    return F.concat_ws(" ", *(_or_null(x) for x in (F.get(r["authors"], F.lit(0))["family"], r["title"], r["journal"], r["year"])))
+    return F.concat_ws(" ", *(or_null(x) for x in (F.get(r["authors"], F.lit(0))["family"], r["title"], r["journal"], r["year"])))
 
 
 def has_cjk_author(ref) -> Column:

@@ -42,6 +42,11 @@ def let(c: Column, use) -> Column:
     return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
+def or_null(c: Column) -> Column:
+    """c, or null where it is the empty string; c is evaluated once."""
+    return let(c, lambda x: F.nullif(x, F.lit("")))
+
+
 def strip(c) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
@@ -87,7 +92,7 @@ def doi_tokens(c) -> Column:
 
 def first_doi(c) -> Column:
     """The first DOI, normalised, or null."""
-    return F.nullif(normalize_doi(F.regexp_extract(col(c), f"(?i)({DOI_TOKEN})", 1)), F.lit(""))
+    return or_null(normalize_doi(F.regexp_extract(col(c), f"(?i)({DOI_TOKEN})", 1)))
 
 
 def is_cjk(c) -> Column:
@@ -163,7 +168,7 @@ def canonical(s: pd.Series) -> pd.Series:
 def base_ref_key(surname, year) -> Column:
     """Surname and year of a key; anon and nodate where there is none."""
     name, when = normalize_title(surname), normalize_title(F.coalesce(col(year).cast("string"), F.lit("")))
-    return F.concat(F.coalesce(F.nullif(name, F.lit("")), F.lit("anon")), F.coalesce(F.nullif(when, F.lit("")), F.lit("nodate")))
+    return F.concat(F.coalesce(or_null(name), F.lit("anon")), F.coalesce(or_null(when), F.lit("nodate")))
 
 
 def confidence_level(score) -> Column:
@@ -209,4 +214,4 @@ def cell_kind(text, has_field) -> Column:
 
 def payload_text(instruction) -> Column:
     """The JSON object in an instruction, from its first brace to its last, or null."""
-    return F.nullif(F.regexp_extract(col(instruction), r"(?s)\{.*\}", 0), F.lit(""))
+    return or_null(F.regexp_extract(col(instruction), r"(?s)\{.*\}", 0))
