@@ -439,14 +439,12 @@ def resolve_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
   select item_id, doc_id, round(cast(cast(cast(count(*) as double) / (select count(*) from w x where x.item_id = c.item_id) as varchar) as decimal(20, 17)), 2)::double as overlap
   from c join w using (item_id) join v using (doc_id, word) group by item_id, doc_id""")
 def title_overlap_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of a benchmark text's words in each document that has one of its rare words."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", T.title_words("text").alias("ours"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.title_words("text").alias("theirs"))
-    each = items.select("item_id", F.explode("ours").alias("word"))
-    rare = each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n <= 3").select("word")
-    pairs = each.join(rare, "word").join(docs.select("doc_id", F.explode("theirs").alias("word")), "word").select("item_id", "doc_id").distinct()
-    both = pairs.join(items, "item_id").join(docs, "doc_id")
-    return both.select("item_id", "doc_id", F.round(F.size(F.array_intersect("ours", "theirs")) / F.size("ours"), 2).alias("overlap"))
+    """Share of a benchmark text's words in each document that has any of them. The SQL keeps pairs with a word of at most 3 items only."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.title_words("text")).alias("word"))
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.explode(T.title_words("text")).alias("word"))
+    shared = docs.join(items, "word").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    sizes = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("size"))
+    return shared.join(sizes, "item_id").select("item_id", "doc_id", F.round(F.col("shared") / F.col("size"), 2).alias("overlap"))
 
 
 # ------------------------------------------------------------------ audit
