@@ -128,21 +128,26 @@ def _runs_and_pairs(runs: Column) -> Column:
     return F.concat(runs, F.flatten(F.transform(runs, pairs)))
 
 
-# The entities that clean_markup() resolves natively.
+# The entities that clean_markup() resolves natively; and white space, to which Python counts four separators more.
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&#8209;", "‑"), ("&amp;", "&"))
+_NATIVE = "|".join(re.escape(name) for name, _ in _ENTITIES)
+_SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
 def clean_markup(c) -> Column:
-    """Without tags, common entities resolved, white space collapsed."""
+    """Without tags, all named and numbered entities resolved once, white space collapsed."""
     text = F.regexp_replace(col(c), "<[^>]+>", "")
+    known = text
     for name, char in _ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+        known = F.replace(known, F.lit(name), F.lit(char))
+    known = F.trim(F.regexp_replace(known, _SPACES, " "))
+    others = F.contains(F.regexp_replace(text, _NATIVE, ""), F.lit("&"))
+    return F.when(others, clean_markup_exact(F.when(others, col(c)))).otherwise(known)
 
 
 @arrow("string")
 def clean_markup_exact(s: pd.Series) -> pd.Series:
-    """clean_markup() with every named and numbered entity."""
+    """clean_markup() in Python, for texts with entities beyond the common ones."""
     return s.map(lambda x: re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]+>", "", x))).strip() if x else x)
 
 
