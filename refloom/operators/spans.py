@@ -160,23 +160,35 @@ def _small(df: DataFrame) -> DataFrame:
     return _sized(df)[0]
 
 
+def _folded(text: Column) -> Column:
+    """A text in which characters are equal where a regular expression that ignores case takes them for equal; each is folded by itself."""
+    upper = F.translate(F.upper(F.translate(text, "ẞ", "ß")), "İ", "I")  # Spark drops an upper() right inside lower()
+    return F.translate(F.lower(upper), "ς", "σ")
+
+
 def _pairs_in(text: Column) -> Column:
-    """Distinct pairs of neighbouring characters of a text, and its single characters that are ideographs."""
+    """Distinct pairs of neighbouring characters of a text, and the single characters with which a surname may end."""
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))
-    return F.array_distinct(F.concat(pairs, F.regexp_extract_all(text, F.lit("([一-鿿])"), 1)))
+    return F.array_distinct(F.concat(pairs, F.regexp_extract_all(text, F.lit(r"(?U)(?s)(.)(?=[一-鿿]|\s*(?:et al\.?|and\b|&\b|,|\)|$))"), 1)))
+
+
+def _pair_of(surname: Column) -> Column:
+    """The last two characters of a surname's last word, or the one it has; of nothing but white space the last character."""
+    word = F.element_at(F.split(F.regexp_replace(surname, r"\s+$", ""), r"\s+"), -1)
+    return F.when(word == "", F.right(surname, F.lit(1))).otherwise(F.right(_folded(word), F.lit(2)))
 
 
 def with_author_hits(parts: DataFrame, mapping: DataFrame) -> DataFrame:
     """parts (text, year, …) once for each mapping row that may be meant, with surname and hit_key; once with nulls where none is.
 
     A row is met through its year; if there are many rows, also through the last two letters of its surname, which
-    must stand in the part.
+    must stand in the part, or the only one, which must stand where a surname may end. No row that would match is missed.
     """
     index, n = _sized(author_index(mapping).withColumnRenamed("ref_key", "hit_key"))
     if n < LEAST_BLOCKED:
         return parts.join(index, "year", "left")
-    blocked = index.withColumn("pair", F.right(F.lower(F.element_at(F.split("surname", r"\s+"), -1)), F.lit(2)))
-    rows = parts.withColumn("pair", F.explode_outer(F.when(F.col("year").isNotNull(), T.let(F.lower("text"), _pairs_in))))
+    blocked = index.withColumn("pair", _pair_of(F.col("surname")))
+    rows = parts.withColumn("pair", F.explode_outer(F.when(F.col("year").isNotNull(), T.let(_folded(F.col("text")), _pairs_in))))
     return rows.join(F.broadcast(blocked) if n <= MOST_BROADCAST else blocked, ["year", "pair"], "left").drop("pair")
 
 
