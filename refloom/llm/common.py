@@ -92,6 +92,27 @@ def release_scratch(spark: SparkSession, *keep: DataFrame) -> None:
             _SCRATCH.remove(path)
 
 
+#: Hashes of heavy keys that are looked for, rows from which a key is heavy, and parts that its rows are dealt over.
+HEAVY_KEYS, HEAVY_ROWS, SPREAD = 256, 1000, 64
+
+
+def heavy_keys(df: DataFrame, key: str) -> list[int]:
+    """Hashes of the keys with most rows: HEAVY_KEYS at most, each with HEAVY_ROWS rows at least; any other key has a smaller share than one part in HEAVY_KEYS."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(F.xxhash64(key).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return [r.h for r in counts.where(F.col("n") >= HEAVY_ROWS).orderBy(F.desc("n"), "h").limit(HEAVY_KEYS).collect()]
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for a key. The rows of a heavy key of left are dealt over SPREAD parts, each of which gets a copy of right's row."""
+    heavy = heavy_keys(left, key)
+    if not heavy:
+        return left.join(right, key, how)
+    is_heavy = F.xxhash64(key).isin(heavy)
+    salt = F.when(is_heavy, F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)).cast("int")).otherwise(0)
+    copies = F.explode(F.when(is_heavy, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))
+    return left.withColumn("_salt", salt).join(right.withColumn("_salt", copies), [key, "_salt"], how).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,37 +1,46 @@
 """Substring duplicates by repeated-phrase automata.
 
 A window is WINDOW consecutive words of one document; a window recurs if its word sequence starts at any
-other place too. Recurring windows are confirmed by a shuffle of their hashes, but only windows that can
-recur are shuffled: equal windows select the same anchor (the smallest hash of ANCHOR consecutive words in
-them), so an anchor that is selected at one place only rules its windows out. What recurs is then joined to
-passages, which are compiled into Aho-Corasick automata, one shard of documents at a time, over which all
-documents of the shard are streamed to locate every occurrence.
+other place too. Each window has an anchor, the first of certain phrases of ANCHOR words inside it, so equal
+windows have equal anchors; an anchor that is selected at one place only rules its windows out. Neighbouring
+windows with one anchor make a fragment, at most 2 * WINDOW - ANCHOR words of text, and fragments are sharded
+by their anchor. A shard confirms which windows recur, word by word, and takes each recurring passage from
+one fragment; the passages are compiled into Aho-Corasick automata, over which all fragments of the shard are
+streamed. What the automata match, and nothing else, is removed from the documents.
+
+A passage is a run of windows that always follow each other: every place of one is a place of all. So one
+copy of it finds all others, and a match never covers more than windows that recur.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
-from refloom.llm.common import shuffle_partitions, small_batches, whole_text
+from refloom.llm.common import shuffle_partitions, small_batches, spread_join, whole_text, written
 from refloom.llm.textkernel import Words, words
 
 WINDOW = 35
 ANCHOR = 8
-#: The bitmap of recurring anchors has 2^22 to 2^27 bits (16 MB at most), whatever the corpus holds. A full bitmap rules nothing out; results are the same.
-MOST_BITS = 27
-#: Entries that a task collects before it hands them on, and words of passages in one automaton.
+#: Bits of the map of recurring anchors (16 MB), whatever the corpus holds. A full map rules nothing out; results are the same.
+ANCHOR_BITS = 27
+#: Cells in which phrases are counted, and the share and number of all phrases from which a cell is hot, so 2^15 cells at most are.
+CELLS, HOT_SHARE, HOT_PLACES = 1 << 18, 1 / (1 << 15), 1000
+#: Entries, or bytes of fragments, that a task holds before it hands them on.
 FLUSH = 1 << 20
-AUTOMATON_WORDS = 1 << 19
+SHARD_BYTES = 2 << 20
+#: Windows that are put into fragments at a time.
+STRETCH = 1 << 20
 
 _U = np.uint64
-_FLAG = _U(1) << _U(63)
 _PLACE_BITS = 24
+_LOW = _U((1 << _PLACE_BITS) - 1)
 
 
 def _sliding_least(x: np.ndarray, k: int) -> np.ndarray:
@@ -44,270 +53,338 @@ def _sliding_least(x: np.ndarray, k: int) -> np.ndarray:
     return m
 
 
-def selected_anchors(w: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word of every window, index of its anchor among the anchors' hashes, those hashes).
+class Anchored:
+    """Windows of a run of words: first (word of every window), place (word of its anchor, from the run's start), keys (hash of the phrase at every word)."""
 
-    Of equal hashes in a window the leftmost is the anchor, so equal windows select equal places.
-    """
-    n = len(w.starts)
-    none = np.zeros(0, np.int64)
-    if n < window:
-        return none, none, np.zeros(0, _U)
-    at, h = w.phrases(anchor)
-    keys = np.full(n - anchor + 1, ~_U(0))
-    keys[at] = h
-    first = np.flatnonzero(w.doc[: n - window + 1] == w.doc[window - 1 :])
-    if n >> _PLACE_BITS:  # a text of over 16 million words: the place does not fit beside the hash
-        packed = np.argsort(np.argsort(keys, kind="stable"), kind="stable").astype(_U)
-        order = np.argsort(keys, kind="stable")
-        return first, order[_sliding_least(packed, window - anchor + 1)[first].astype(np.int64)], keys
-    low = _U((1 << _PLACE_BITS) - 1)
-    packed = (keys & ~low) | np.arange(len(keys), dtype=_U)
-    return first, (_sliding_least(packed, window - anchor + 1)[first] & low).astype(np.int64), keys
-
-
-def _counted(values: np.ndarray) -> np.ndarray:
-    """Distinct values, without their top bit; it is set instead on those that occur twice or carry it already."""
-    bare = values & ~_FLAG
-    order = np.argsort(bare, kind="stable")
-    bare, flags = bare[order], (values & _FLAG)[order] > 0
-    if not len(bare):
-        return bare
-    start = np.flatnonzero(np.append(True, bare[1:] != bare[:-1]))
-    many = np.add.reduceat(flags.astype(np.int64), start) + np.diff(np.append(start, len(bare))) > 1
-    return bare[start] | np.where(many, _FLAG, _U(0))
-
-
-def _blobs(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """Rows (bucket, bytes of each column) of values that are sorted by bucket."""
-    start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-    end = np.append(start[1:], len(bucket))
-    out = {"bucket": pa.array(bucket[start].astype(np.int32))}
-    for name, x in columns.items():
-        out[name] = pa.array([x[a:b].tobytes() for a, b in zip(start, end, strict=True)], pa.binary())
-    return pa.RecordBatch.from_pydict(out)
-
-
-def _anchors(window: int, anchor: int, buckets_log2: int):
-    """Anchors selected in the task's texts as blobs by the top bits of their hash."""
+    def __init__(self, w: Words, start: int, stop: int, window: int, anchor: int):
+        end = min(len(w.starts), stop + window - 1)
+        doc, self.start, self.span = w.doc[start:end], start, window - anchor + 1
+        n = max(0, end - start - window + 1)
+        self.first = start + np.flatnonzero(doc[:n] == doc[window - 1 :][:n])
+        self.keys = w.phrase_at(start, end, anchor) if len(self.first) else np.zeros(0, _U)
+        self.place = self._least(self.keys >> _U(1)) if len(self.first) else self.first
+
+    def _least(self, order: np.ndarray) -> np.ndarray:
+        packed = (order & ~_LOW) | np.arange(len(order), dtype=_U)  # of equal phrases the leftmost
+        return (_sliding_least(packed, self.span)[self.first - self.start] & _LOW).astype(np.int64)
+
+    def without(self, hot: np.ndarray | None) -> np.ndarray:
+        """place, if phrases of hot cells come after all others."""
+        late = None if hot is None else hot[cells(self.keys)]
+        return self.place if late is None or not late.any() else self._least((self.keys >> _U(1)) | (late.astype(_U) << _U(63)))
+
+
+def cells(keys: np.ndarray) -> np.ndarray:
+    return ((keys >> _U(8)) % _U(CELLS)).astype(np.int64)
+
+
+def _stretches(w: Words, window: int):
+    """Runs of windows, by their first words."""
+    for start in range(0, max(0, len(w.starts) - window + 1), STRETCH):
+        yield start, min(start + STRETCH, len(w.starts) - window + 1)
+
+
+def _selected(window: int, anchor: int):
+    """Anchors selected in the task's texts: (key, places, cell null), places 1 or 2 for more; and (key null, places, cell) of cells with half of HOT_SHARE here, and of none with all phrases' number."""
 
     def flush(kept):
-        values = _counted(np.concatenate(kept))
-        bucket = (values & ~_FLAG) >> _U(63 - buckets_log2)
-        order = np.argsort(bucket, kind="stable")
-        return _blobs(bucket[order], {"hashes": values[order]})
+        keys, n = np.unique(np.concatenate(kept), return_counts=True)
+        n = np.minimum(n, 2)
+        return pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "places": pa.array(n, pa.int64()), "cell": pa.nulls(len(n), pa.int32())})
 
     def run(batches):
-        kept, n = [], 0
+        kept, n, table = [], 0, np.zeros(CELLS, np.int64)
         for b in batches:
             for _, _, w in words(b.column("content")):
-                _, at, keys = selected_anchors(w, window, anchor)
-                kept.append(keys[np.unique(at)] & ~_FLAG)
-                n += len(kept[-1])
-                if n > FLUSH:
-                    yield flush(kept)
-                    kept, n = [], 0
+                for start, stop in _stretches(w, window):
+                    a = Anchored(w, start, stop, window, anchor)
+                    if not len(a.first):
+                        continue
+                    np.add.at(table, cells(a.keys), 1)
+                    kept.append(a.keys[np.unique(a.place)])
+                    n += len(kept[-1])
+                    if n > FLUSH:
+                        yield flush(kept)
+                        kept, n = [], 0
         if n:
             yield flush(kept)
+        total = int(table.sum())
+        some = np.flatnonzero((table > 1) & (table >= total * HOT_SHARE / 2))
+        yield pa.RecordBatch.from_pydict({"key": pa.nulls(len(some) + 1, pa.int64()), "places": pa.array([total, *table[some].tolist()], pa.int64()), "cell": pa.array([-1, *some.tolist()], pa.int32())})
 
     return run
 
 
-def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes & ~_FLAG) >> _U(63 - bits)
+def _mapped(recurring: DataFrame) -> np.ndarray:
+    """The map of anchors, as bytes; made of at most 2^ANCHOR_BITS / 2^15 pieces."""
+    at = F.shiftrightunsigned("key", 64 - ANCHOR_BITS) + 1  # the built-in counts from 1
+    pieces = recurring.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (ANCHOR_BITS - 3), np.uint8)
+    for bucket, piece in zip(pieces.column("bucket").to_pylist(), pieces.column("bits"), strict=True):
+        raw = np.frombuffer(piece.as_buffer(), np.uint8)
+        bits[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(raw)] = raw
+    return bits
 
 
-def _recurring_bits(bits: int, buckets_log2: int):
-    """Per bucket a slice of the bitmap, with the bits of anchors that are selected at two places at least."""
+def _is_set(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys >> _U(64 - ANCHOR_BITS)
+    return ((bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1) > 0
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        values = _counted(np.concatenate([np.frombuffer(x, _U) for x in group["hashes"]]))
-        values = values[(values & _FLAG) > 0]
-        flags = np.zeros(1 << (bits - buckets_log2), dtype=bool)
-        flags[(_places(values, bits) & _U(len(flags) - 1)).astype(np.int64)] = True
-        return pd.DataFrame({"bucket": [int(key[0])], "slice": [np.packbits(flags).tobytes()]})
 
-    return run
+def _fragments(w: Words, window: int, anchor: int, bits: np.ndarray, hot: np.ndarray | None):
+    """(text, first word, anchor key, byte start, byte end) of each fragment of windows that may recur; words and bytes count from the block's start."""
+    for start, stop in _stretches(w, window):
+        plain = Anchored(w, start, stop, window, anchor)
+        if not len(plain.first):
+            continue
+        may = _is_set(bits, plain.keys)[plain.place]
+        if not may.any():
+            continue
+        first, place = plain.first[may], plain.without(hot)[may]
+        new = np.append(True, (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1))
+        a = first[new]
+        b = first[np.append(np.flatnonzero(new)[1:] - 1, len(first) - 1)] + window - 1
+        yield from zip(w.doc[a].tolist(), a.tolist(), plain.keys[place[new]].view(np.int64).tolist(), w.starts[a].tolist(), w.ends[b].tolist(), strict=True)
+
 
+def _digest(x: bytes) -> bytes:
+    return hashlib.blake2b(x, digest_size=16).digest()
 
-def _windows(window: int, anchor: int, bits: int, shared, buckets: int):
-    """Hashes of the windows that may recur, as blobs by hash, with the shard of the document they are in."""
 
-    def flush(hashes, shards):
-        h, s = np.concatenate(hashes), np.concatenate(shards)
-        order = np.lexsort((s, h))
-        h, s = h[order], s[order]
-        new = np.append(True, h[1:] != h[:-1])
-        start = np.flatnonzero(new)
-        many = np.diff(np.append(start, len(h))) > 1
-        each = new | np.append(True, s[1:] != s[:-1])
-        flag = np.repeat(many, np.diff(np.append(start, len(h))))[each]
-        h, s = h[each] | np.where(flag, _FLAG, _U(0)), s[each]
-        bucket = (h & ~_FLAG) % _U(buckets)
-        order = np.argsort(bucket, kind="stable")
-        return _blobs(bucket[order], {"hashes": h[order], "shards": s[order]})
+def _distinct_fragments(window: int, anchor: int, shared):
+    """(anchor, fragment, places) of the task's texts, places 1 or 2 for more; equal fragments are one while they are held."""
+
+    def flush(held):
+        for at in range(0, len(held), 4000):
+            part = list(held.items())[at : at + 4000]
+            yield pa.RecordBatch.from_pydict({"anchor": pa.array([k for _, (k, _) in part], pa.int64()), "fragment": pa.array([f for f, _ in part], pa.binary()), "places": pa.array([n for _, (_, n) in part], pa.int64())})
 
     def run(batches):
-        bitmap = np.frombuffer(shared.value, np.uint8)
-        hashes, shards, n = [], [], 0
+        bits, hot = shared.value
+        bits, held, size = np.frombuffer(bits, np.uint8), {}, 0
         for b in batches:
-            shard_of = b.column("shard").to_numpy()
-            for at, _, w in words(b.column("content")):
-                first, place, keys = selected_anchors(w, window, anchor)
-                if not len(first):
-                    continue
-                bit = _places(keys, bits)
-                hit = (bitmap[(bit >> _U(3)).astype(np.int64)] >> (_U(7) - (bit & _U(7))).astype(np.uint8)) & 1
-                may = hit[place] > 0
-                if not may.any():
-                    continue
-                starts, h = w.phrases(window)  # starts equals first
-                hashes.append(h[may] & ~_FLAG)
-                shards.append(shard_of[at + w.doc[starts[may]]].astype(np.int32))
-                n += len(hashes[-1])
-                if n > FLUSH:
-                    yield flush(hashes, shards)
-                    hashes, shards, n = [], [], 0
-        if n:
-            yield flush(hashes, shards)
+            for _, _, w in words(b.column("content")):
+                raw = w.data.tobytes()
+                for _, _, key, low, high in _fragments(w, window, anchor, bits, hot):
+                    f = raw[low:high]
+                    known = held.get(f)
+                    if known is None:
+                        held[f] = (key, 1)
+                        size += len(f) + 150
+                    elif known[1] == 1:
+                        held[f] = (key, 2)
+                if size > 8 * FLUSH:
+                    yield from flush(held)
+                    held, size = {}, 0
+        yield from flush(held)
 
     return run
 
 
-def _confirmed(group: pd.DataFrame) -> pd.DataFrame:
-    """Hashes that occur twice at least, as blobs by shard."""
-    h = np.concatenate([np.frombuffer(x, _U) for x in group["hashes"]])
-    s = np.concatenate([np.frombuffer(x, np.int32) for x in group["shards"]])
-    order = np.argsort(h & ~_FLAG, kind="stable")
-    h, s = h[order], s[order]
-    bare = h & ~_FLAG
-    start = np.flatnonzero(np.append(True, bare[1:] != bare[:-1]))
-    length = np.diff(np.append(start, len(h)))
-    many = (length > 1) | (np.maximum.reduceat(h, start) >= _FLAG)
-    keep = np.repeat(many, length)
-    bare, s = bare[keep], s[keep]
-    order = np.lexsort((bare, s))
-    bare, s = bare[order], s[order]
-    each = np.append(True, (bare[1:] != bare[:-1]) | (s[1:] != s[:-1])) if len(bare) else np.zeros(0, bool)
-    return _blobs(s[each], {"hashes": bare[each]}).to_pandas().rename(columns={"bucket": "shard"})
-
-
-def passages(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, word after the last) of the runs that windows starting at these words, one after another, cover."""
-    new = np.append(True, np.diff(starts) > 1)
-    first = starts[new]
-    last = starts[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
-    return first, last + window
-
-
-class Locator:
-    """Automata over the passages of one shard of documents."""
-
-    def __init__(self, window: int, automaton_words: int = AUTOMATON_WORDS):
-        self.most, self.window = automaton_words, window
-        self.patterns: dict[bytes, np.ndarray] = {}
-
-    def add(self, hashes: np.ndarray) -> None:
-        """A passage, as the hashes of its words."""
-        self.patterns.setdefault(hashes.tobytes(), hashes)
-
-    def covered(self, docs: list[np.ndarray]) -> list[np.ndarray]:
-        """For each document, given as its words' hashes, which words lie in an occurrence of a passage."""
-        cover = [np.zeros(len(d) + 1, np.int32) for d in docs]
-        todo = sorted(self.patterns.values(), key=len)
-        while todo:
-            part, n = [], 0
-            while todo and (not part or n + len(todo[-1]) <= self.most):
-                part.append(todo.pop())
-                n += len(part[-1])
-            known = np.unique(np.concatenate(part))
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-            for p in part:
-                automaton.add_word(tuple((np.searchsorted(known, p) + 1).tolist()))
-            automaton.make_automaton()
-            for d, c in zip(docs, cover, strict=True):
-                if len(d) < self.window:
-                    continue
-                at = np.minimum(np.searchsorted(known, d), len(known) - 1)
-                ids = np.where(known[at] == d, at + 1, 0)
-                if np.count_nonzero(ids) < self.window:
-                    continue
-                for end, length in automaton.iter(tuple(ids.tolist())):
-                    c[end - length + 1] += 1
-                    c[end + 1] -= 1
-        return [np.cumsum(c[:-1]) > 0 for c in cover]
-
-
-def _remove(window: int, as_it_was: bool):
-    """One shard: its documents and the confirmed window hashes in it."""
-
-    def run(docs: pd.DataFrame, confirmed: pd.DataFrame) -> pd.DataFrame:
-        known = np.unique(np.concatenate([np.zeros(0, _U), *(np.frombuffer(x, _U) for x in confirmed["hashes"])]))
-        locator, hashes = Locator(window), [np.zeros(0, _U)] * len(docs)
-        for at, n, w in words(pa.array(docs["content"], pa.string())):
-            bounds = w.bounds(n)
-            for i in range(n):
-                hashes[at + i] = w.hashes[bounds[i] : bounds[i + 1]].copy()
-            starts, h = w.phrases(window)
-            if not len(known) or not len(starts):
-                continue
-            h &= ~_FLAG
-            hit = starts[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h]
-            for i, own in zip(np.unique(w.doc[hit]), np.split(hit, np.flatnonzero(np.diff(w.doc[hit])) + 1), strict=True) if len(hit) else ():
-                for a, b in zip(*passages(own, window), strict=True):
-                    locator.add(w.hashes[a:b].copy())
-        rows = []
-        for text, cover in zip(docs["content"], locator.covered(hashes), strict=True):
-            found = text.encode("utf-8").split()
-            kept = [x for x, c in zip(found, cover, strict=True) if not c] if cover.any() else found
-            rows.append((len(found), len(found) - len(kept), text if as_it_was and len(kept) == len(found) else b" ".join(kept).decode("utf-8")))
-        n_words, n_removed, kept = zip(*rows, strict=True) if rows else ((), (), ())
-        return pd.DataFrame({"row_id": docs["row_id"], **({"carried": docs["carried"]} if "carried" in docs else {}), "n_words": pd.Series(n_words, dtype="int64"), "n_removed": pd.Series(n_removed, dtype="int64"), "kept_text": pd.Series(kept, dtype=object)})
+def _places(window: int, anchor: int, shared):
+    """(text_key, first, digest) of every fragment of the task's texts, equal texts being one while their keys are held."""
+
+    def run(batches):
+        bits, hot = shared.value
+        bits, seen = np.frombuffer(bits, np.uint8), set()
+        for b in batches:
+            keys = b.column("text_key").to_pylist()
+            out = ([], [], [])
+            for at, n, w in words(b.column("content")):
+                raw, bounds, fresh = w.data.tobytes(), w.bounds(n), [k not in seen for k in keys[at : at + n]]
+                for doc, first, _, low, high in _fragments(w, window, anchor, bits, hot):
+                    if fresh[doc]:
+                        out[0].append(keys[at + doc])
+                        out[1].append(first - int(bounds[doc]))
+                        out[2].append(_digest(raw[low:high]))
+                seen.update(keys[at : at + n])
+                if len(seen) > FLUSH >> 4:
+                    seen.clear()
+            yield pa.RecordBatch.from_pydict({"text_key": pa.array(out[0], pa.binary()), "first": pa.array(out[1], pa.int32()), "digest": pa.array(out[2], pa.binary())})
 
     return run
 
 
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, carried: str | None = None, as_it_was: bool = False) -> DataFrame:
+def _numbered(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a number for each pair, equal for equal pairs alone; one place of each number)."""
+    _, sample, number = np.unique(one, return_index=True, return_inverse=True)
+    if (other != other[sample][number]).any():
+        _, sample, number = np.unique(np.stack([one, other], axis=1), axis=0, return_index=True, return_inverse=True)
+    return number.ravel(), sample
+
+
+def recurring_passages(w: Words, places: np.ndarray, window: int) -> list[np.ndarray]:
+    """The passages of distinct fragments, the texts of w, each once as places of its words; places are 1 or 2 for more of each."""
+    at, one = w.phrases(window)
+    if not len(at):
+        return []
+    name, sample = _numbered(one, w.phrases(window, second=True)[1])
+    of = w.doc[at]
+    seen = np.bincount(name)  # over distinct fragments
+    recurs = np.bincount(name, weights=places[of]) > 1
+    follows = np.flatnonzero((at[1:] == at[:-1] + 1) & (of[1:] == of[:-1]))
+    _, where, n = np.unique(name[follows] * np.int64(len(sample)) + name[follows + 1], return_inverse=True, return_counts=True)
+    always = np.zeros(len(at), bool)  # are a window and the one before it always next to each other
+    always[follows + 1] = (n[where] == seen[name[follows]]) & (n[where] == seen[name[follows + 1]])
+    first = sample[recurs & ~always[sample]]
+    ends = np.flatnonzero(~np.append(always[1:], False))
+    last = ends[np.searchsorted(ends, first)]
+    return [np.arange(a, b) for a, b in zip(at[first].tolist(), (at[last] + window).tolist(), strict=True)]
+
+
+def automaton_of(patterns: list[tuple[int, ...]]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    for p in patterns:
+        automaton.add_word(p)
+    automaton.make_automaton()
+    return automaton
+
+
+def covered_by(automaton: ahocorasick.Automaton, ids: np.ndarray) -> np.ndarray:
+    """Which of the ids lie in a match."""
+    cover = np.zeros(len(ids) + 1, np.int64)
+    hits = np.asarray(list(automaton.iter(tuple(ids.tolist()))), np.int64).reshape(-1, 2)
+    np.add.at(cover, hits[:, 0] - hits[:, 1] + 1, 1)
+    np.add.at(cover, hits[:, 0] + 1, -1)
+    return np.cumsum(cover[:-1]) > 0
+
+
+def _shard(fragments: dict[bytes, int], window: int):
+    """(digest, spans) of the fragments in which passages are found; fragments give their number of places. spans are starts and ends in turn."""
+    texts = list(fragments)
+    offsets = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(f) for f in texts], out=offsets[1:])
+    w = Words(np.frombuffer(b"".join(texts), np.uint8), offsets, lower=False)
+    passages = recurring_passages(w, np.fromiter(fragments.values(), np.int64, len(texts)), window)
+    if not passages:
+        return
+    number, _ = _numbered(w.hashes, w.second())
+    number = number + 1
+    automaton = automaton_of([tuple(number[p].tolist()) for p in passages])
+    # a zero, which no passage holds, parts the fragments
+    stream = np.zeros(len(number) + len(texts), np.int64)
+    where = np.arange(len(number)) + w.doc
+    stream[where] = number
+    hit = covered_by(automaton, stream)
+    bounds = w.bounds(len(texts)) + np.arange(len(texts) + 1)
+    turns = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+    if not len(turns):
+        return
+    of = np.searchsorted(bounds, turns[::2], "right") - 1
+    for i, at in zip(np.unique(of).tolist(), np.split(turns, 2 * (np.flatnonzero(np.diff(of)) + 1)), strict=True):
+        yield _digest(texts[i]), (at - bounds[i]).tolist()
+
+
+def _located(window: int):
+    """Rows sorted by anchor to (digest, spans). Anchors are taken together up to SHARD_BYTES, for one automaton; no anchor is parted."""
+
+    def flush(held):
+        rows = list(_shard(held, window)) if held else []
+        for at in range(0, len(rows), 4000):
+            part = rows[at : at + 4000]
+            yield pa.RecordBatch.from_pydict({"digest": pa.array([d for d, _ in part], pa.binary()), "spans": pa.array([s for _, s in part], pa.list_(pa.int32()))})
+
+    def run(batches):
+        held, mine, size, last = {}, {}, 0, None
+        for b in batches:
+            for anchor, fragment, places in zip(*(b.column(n).to_pylist() for n in ("anchor", "fragment", "places")), strict=True):
+                if anchor != last:
+                    if sum(mine.values()) > 1:  # an anchor of one place has nothing that recurs
+                        held |= mine
+                        size += sum(map(len, mine))
+                        if size > SHARD_BYTES:
+                            yield from flush(held)
+                            held, size = {}, 0
+                    last, mine = anchor, {}
+                mine[fragment] = min(2, mine.get(fragment, 0) + places)
+        yield from flush(held | mine)
+
+    return run
+
+
+def covered(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(text_key, spans) of the distinct texts (text_key, content, repeated rows included) that lose words.
+
+    spans are (first word, words or parts of it as starts and ends in turn), in any order, and may meet or overlap.
+    """
+    spark = texts.sparkSession
+    parts = shuffle_partitions(spark)
+    selected = texts.select("content").mapInArrow(_selected(window, anchor), "key long, places long, cell int")
+    counts = selected.groupBy("key", "cell").agg(F.sum("places").alias("places")).where("places > 1").persist()
+    try:
+        load = dict(counts.where("cell is not null").select("cell", "places").collect())  # CELLS rows at most
+        bits = _mapped(counts.where("key is not null"))
+    finally:
+        counts.unpersist()
+    hot, least = np.zeros(CELLS, bool), max(HOT_PLACES, load.pop(-1, 0) * HOT_SHARE / 2)
+    hot[[cell for cell, n in load.items() if n >= least]] = True
+    shared = spark.sparkContext.broadcast((bits.tobytes(), hot if hot.any() else None))
+
+    fragments = texts.select("content").mapInArrow(_distinct_fragments(window, anchor, shared), "anchor long, fragment binary, places long")
+    located = fragments.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_located(window), "digest binary, spans array<int>")
+    places = written(texts.mapInArrow(_places(window, anchor, shared), "text_key binary, first int, digest binary"), "places")
+    found = spread_join(places, located, "digest").select("text_key", F.struct("first", "spans").alias("s"))
+    return found.groupBy("text_key").agg(F.collect_set("s").alias("spans"))
+
+
+_STRIPPED = "struct<n_words:long,n_removed:long,kept_text:string>"
+
+
+def _strip(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text, found in zip(texts, spans, strict=True):
+        own = text.encode("utf-8").split()
+        if found is None or not len(found):
+            rows.append((len(own), 0, b" ".join(own).decode("utf-8")))
+            continue
+        gone = np.zeros(len(own) + 1, np.int32)
+        for s in found:
+            edges = np.asarray(s["spans"]) + s["first"]
+            np.add.at(gone, edges[::2], 1)
+            np.add.at(gone, edges[1::2], -1)
+        keep = np.cumsum(gone[:-1]) == 0
+        kept = [x for x, k in zip(own, keep.tolist(), strict=True) if k]
+        rows.append((len(own), len(own) - len(kept), b" ".join(kept).decode("utf-8")))
+    return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text"])
+
+
+def _stripped_rows(docs: DataFrame, text_col: str, window: int, anchor: int) -> DataFrame:
+    """(row, stripped): every row of docs as a struct, and what is left of its text."""
+    small_batches(docs.sparkSession)
+    key = F.unhex(F.md5(F.encode(whole_text(text_col), "utf-8"))).alias("text_key")
+    spans = covered(docs.select(key, whole_text(text_col).alias("content")), window, anchor)
+    rows = spread_join(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key), spans, "text_key", how="left")
+    strip = F.pandas_udf(_strip, _STRIPPED)
+    return rows.select("row", strip(F.coalesce(F.col("row").getField(text_col), F.lit("")), "spans").alias("stripped"))
+
+
+def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(id, n_words, n_removed, kept_text) of every row: its words without those covered by a window that recurs.
 
     Words are runs of anything but space and 0x09 to 0x0D and compared as they are. Windows are judged on the
     input, so both of two copies lose a passage. kept_text joins the words by one space. Texts of fewer than
-    window words lose nothing; a string column named by carried is handed through, and with as_it_was a row that loses nothing has its own text as kept_text; null counts as empty, with no words; repeated rows are copies of each other and
+    window words lose nothing; null counts as empty, with no words; repeated rows are copies of each other and
     get a row each, as do null ids; other columns are ignored; an empty table gives an empty result.
+
+    What a task holds is bounded by bytes: fragments have at most 2 * window - anchor words, and a shard's task
+    reads them sorted by anchor. Phrases that a share of all places has are anchors only where nothing else is in
+    a window, so what is common does not gather unlike fragments in one task.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    parts = shuffle_partitions(spark)
-    n_shards, log2 = 2 * parts, max(1, (parts - 1).bit_length())
-    shard = F.pmod(F.xxhash64(F.coalesce("row_id", F.lit(0)), F.length("content")), F.lit(n_shards)).cast("int")
-    more = [F.col(carried).alias("carried")] if carried else []
-    rows = docs.select(F.col(id_col).cast("long").alias("row_id"), whole_text(text_col).alias("content"), *more).withColumn("shard", shard)
-
-    anchors = rows.select("content").mapInArrow(_anchors(window, anchor, log2), "bucket int, hashes binary")
-    bits = min(MOST_BITS, max(22, log2 + 18))
-    slices = anchors.groupBy("bucket").applyInPandas(_recurring_bits(bits, log2), "bucket int, slice binary").toArrow()
-    bitmap = np.zeros(1 << (bits - 3), np.uint8)
-    size = len(bitmap) >> log2
-    for bucket, piece in zip(slices.column("bucket").to_pylist(), slices.column("slice"), strict=True):
-        bitmap[bucket * size : (bucket + 1) * size] = np.frombuffer(piece.as_buffer(), np.uint8)
-    shared = spark.sparkContext.broadcast(bitmap.tobytes())
-
-    windows = rows.select("content", "shard").mapInArrow(_windows(window, anchor, bits, shared, parts), "bucket int, hashes binary, shards binary")
-    confirmed = windows.groupBy("bucket").applyInPandas(_confirmed, "shard int, hashes binary")
-    together = rows.groupBy("shard").cogroup(confirmed.groupBy("shard"))
-    out = together.applyInPandas(_remove(window, as_it_was), "row_id long, " + "carried string, " * bool(carried) + "n_words long, n_removed long, kept_text string")
-    return out.withColumnRenamed("row_id", id_col)
+    rows = _stripped_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", window, anchor)
+    return rows.select(F.col("row.id").cast("long").alias(id_col), "stripped.*")
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with kept_text as the text of each row that lost words, and length_col as its new length; other rows and columns stay as they are."""
-    others = [c for c in docs.columns if c != text_col]
-    whole = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.to_json(F.struct(F.struct(*others).alias("row"), F.col(text_col).isNull().alias("bare"))).alias("_others"))
-    out = remove_repeated(whole, "_id", "_text", carried="_others", as_it_was=True)
-    kept = StructType([StructField("row", StructType([docs.schema[c] for c in others])), StructField("bare", BooleanType())])
-    out = out.withColumn("_others", F.from_json("carried", kept))
-    changed = F.col("n_removed") > 0
-    columns = {c: F.when(~F.col("_others.bare"), F.col("kept_text")) if c == text_col else F.col("_others.row")[c] for c in docs.columns}
-    if length_col in columns:
-        columns[length_col] = F.when(changed, F.length("kept_text").cast(docs.schema[length_col].dataType)).otherwise(columns[length_col])
-    return out.select(*(x.alias(c) for c, x in columns.items()))
+    rows = _stripped_rows(docs, text_col, WINDOW, ANCHOR)
+    changed = F.col("stripped.n_removed") > 0
+
+    def column(name: str) -> Column:
+        own = F.col("row").getField(name)
+        if name == text_col:
+            return F.when(changed, F.col("stripped.kept_text")).otherwise(own)
+        if name == length_col:
+            return F.when(changed, F.length("stripped.kept_text").cast(docs.schema[name].dataType)).otherwise(own)
+        return own
+
+    return rows.select(*(column(c).alias(c) for c in docs.columns))

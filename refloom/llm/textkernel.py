@@ -17,6 +17,7 @@ BLOCK_BYTES = 1 << 17
 
 _U = np.uint64
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+_SECOND_BYTE_BASE, _SECOND_WORD_BASE = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,17 +81,35 @@ class Words:
         np.cumsum((lowered if lower else values)[data] * power[:n], out=sums[1:])
         self.hashes = mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(_U))
 
-    def phrases(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the first word, and hash, of every phrase of k words inside one text."""
+    def second(self) -> np.ndarray:
+        """Hashes of the words as they are, by another polynomial; with the first they make 128 bits."""
+        n = len(self.data)
+        if not n:
+            return self.hashes
+        power, inverse = _powers(_SECOND_BYTE_BASE, n + 1)
+        sums = np.zeros(n + 1, dtype=_U)
+        np.cumsum(mix(self.data.astype(_U) + _U(257)) * power[:n], out=sums[1:])
+        return mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(_U))
+
+    def phrases(self, k: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first word, and hash, of every phrase of k words inside one text. second: of the words' other hashes."""
         n = len(self.hashes)
         if n < k:
             return np.zeros(0, np.int64), np.zeros(0, _U)
-        power, inverse = _powers(_WORD_BASE, n + 1)
+        power, inverse = _powers(_SECOND_WORD_BASE if second else _WORD_BASE, n + 1)
         sums = np.zeros(n + 1, dtype=_U)
-        np.cumsum(self.hashes * power[:n], out=sums[1:])
+        np.cumsum((self.second() if second else self.hashes) * power[:n], out=sums[1:])
         at = np.flatnonzero(self.doc[: n - k + 1] == self.doc[k - 1 :])
         return at, mix((sums[at + k] - sums[at]) * inverse[at] + _U(k))
 
+    def phrase_at(self, start: int, end: int, k: int) -> np.ndarray:
+        """The hash of the k words from each of the words start to end - k on, across the ends of texts too."""
+        n = end - start
+        power, inverse = _powers(_WORD_BASE, n + 1)
+        sums = np.zeros(n + 1, dtype=_U)
+        np.cumsum(self.hashes[start:end] * power[:n], out=sums[1:])
+        return mix((sums[k:] - sums[: n - k + 1]) * inverse[: n - k + 1] + _U(k))
+
     def bounds(self, n_docs: int) -> np.ndarray:
         """Where the words of each text begin, and their number."""
         return np.searchsorted(self.doc, np.arange(n_docs + 1))

@@ -309,3 +309,47 @@ def test_empty_tables(spark):
         resharding.initial_and_new(docs, 3, 4), warc.resolve_revisits(warc.round_trip(pages)),
     ):
         assert df.count() == 0
+
+
+def test_automata_alone_decide_what_is_removed(monkeypatch):
+    base = prose(80, 70).split()
+    fragments = {" ".join(base).encode(): 1, " ".join(["q"] + base[5:60]).encode(): 1, "\n".join(base[20:54]).encode(): 2}
+    found = dict(repeated_phrases._shard(fragments, 35))
+    assert sorted(found.values()) == [[1, 56], [5, 60]]
+
+    class Silent:
+        def iter(self, ids):
+            return iter(())
+
+    monkeypatch.setattr(repeated_phrases, "automaton_of", lambda patterns: Silent())
+    assert not list(repeated_phrases._shard(fragments, 35))
+
+
+def test_passages_are_compiled_once():
+    base = prose(100, 71).split()
+    fragments = {" ".join(base).encode(): 1, " ".join(base[:70] + ["x"]).encode(): 1, " ".join(["y"] + base[30:]).encode(): 1}
+    offsets = np.cumsum([0, *map(len, fragments)])
+    w = repeated_phrases.Words(np.frombuffer(b"".join(fragments), np.uint8), offsets, lower=False)
+    passages = repeated_phrases.recurring_passages(w, np.ones(3, np.int64), 35)
+    # windows of both others, of one and of the other of them
+    assert sorted(len(p) for p in passages) == [40, 64, 64]
+
+
+def test_repeated_phrases_common_line_and_many_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(repeated_phrases, "HOT_PLACES", 5)
+    line = " ".join(WORDS[:20])
+    texts = [prose(30, 400 + i) + " " + line + " " + prose(30, 500 + i) for i in range(60)] + [prose(30, 400) + " " + line + " end"] * 40
+    df = spark.createDataFrame([(None if i % 2 else i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, text_key string, _salt int").repartition(5)
+    expected = removed(texts)
+    same(repeated_phrases.remove_repeated(df), [(None if i % 2 else i, *r) for i, r in enumerate(expected)])
+    monkeypatch.setattr("refloom.llm.common.HEAVY_ROWS", 5)
+    same(repeated_phrases.remove_repeated(df), [(None if i % 2 else i, *r) for i, r in enumerate(expected)])
+    assert sorted((r._salt, r.text_key) for r in repeated_phrases.cleaned(df).collect()) == [(1, "x")] * 100
+
+
+def test_windows_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(repeated_phrases, "STRETCH", 7)
+    base = prose(200, 72)
+    texts = [base, base + " more", prose(50, 73) + " " + base]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    same(repeated_phrases.remove_repeated(df), [(i, *r) for i, r in enumerate(removed(texts))])
