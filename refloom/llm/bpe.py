@@ -37,6 +37,15 @@ def _chunker(spec: dict):
     return None
 
 
+#: ids, starts and ends in code points of a text's tokens.
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _spans_of(encoding) -> Spans:
+    offsets = np.asarray(encoding.offsets, dtype=np.int64).reshape(-1, 2)
+    return np.asarray(encoding.ids, dtype="<i4"), offsets[:, 0], offsets[:, 1]
+
+
 class _Known(dict):
     """Ids by chunk; what is looked up in vain is noted in new and reads as None."""
 
@@ -57,6 +66,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.path, self.cache, self.chunks, self.mark, self.ends, self.hf, self.sp = path, _Known(), None, None, None, None, None
+        self.known_spans: dict[str, tuple[bytes, bytes, bytes]] = {}
         if path.endswith(".model"):
             import sentencepiece
 
@@ -140,11 +150,39 @@ class Encoder:
             return self.sp.decode(ids)
         return self.hf.decode(ids, skip_special_tokens=False)
 
-    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """ids, starts and ends in code points."""
-        e = self.hf.encode(text, add_special_tokens=False)
-        offsets = np.asarray(e.offsets, dtype=np.int64).reshape(-1, 2)
-        return np.asarray(e.ids, dtype="<i4"), offsets[:, 0], offsets[:, 1]
+    def spans(self, text: str) -> Spans:
+        """ids, starts and ends in code points, as the library gives them for a text of its own."""
+        if self.sp:
+            pieces = self.sp.encode(text, out_type="immutable_proto").pieces
+            return np.asarray([p.id for p in pieces], "<i4"), np.asarray([p.begin for p in pieces], np.int64), np.asarray([p.end for p in pieces], np.int64)
+        return _spans_of(self.hf.encode(text, add_special_tokens=False))
+
+    def spans_of_chunks(self, texts: list[str]) -> list[Spans]:
+        """spans() of each text. Where the file's rules allow, distinct chunks are encoded once and remembered, as in encode()."""
+        if self.chunks is None or self.hf is None:
+            return [self.spans(t) for t in texts]
+        cut = [self._places(t) for t in texts]
+        known, new = self.known_spans, {c: None for pieces, _ in cut for c in pieces if c not in self.known_spans}
+        if new:
+            encoded = self.hf.encode_batch(list(new), add_special_tokens=False)
+            new = {c: tuple(x.astype("<i4").tobytes() for x in _spans_of(e)) for c, e in zip(new, encoded, strict=True)}
+            if len(known) < CACHE_ENTRIES // 4:
+                known.update((c, x) for c, x in new.items() if len(c) <= CACHE_CHARS)
+        out = []
+        for pieces, at in cut:
+            found = [known.get(c) or new[c] for c in pieces]
+            shift = np.repeat(np.asarray(at, np.int64), np.asarray([len(f[0]) for f in found], np.int64) // 4)
+            ids, starts, ends = (np.frombuffer(b"".join([f[k] for f in found]), "<i4") for k in range(3))
+            out.append((ids, starts + shift, ends + shift))
+        return out
+
+    def _places(self, text: str) -> tuple[list[str], list[int]]:
+        """The chunks of a text and where they begin."""
+        if self.chunks == _WORDS.findall:
+            found = list(_WORDS.finditer(text))
+            return [m[0] for m in found], [m.start() for m in found]
+        pieces = self.chunks(text)
+        return pieces, np.cumsum([0, *map(len, pieces)])[:-1].tolist()
 
 
 def encoder(path: str) -> Encoder:

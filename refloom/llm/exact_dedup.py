@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from refloom.llm.common import shuffle_partitions, small_batches
+from refloom.llm.common import shuffle_partitions, small_batches, spread_join
 
 #: Bytes of strings that a trie may hold before closed subtrees are spilled.
 TRIE_BYTES = 16 << 20
@@ -142,16 +142,16 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dealt = local.withColumn("n_bytes", F.length("content")).repartition(shuffle_partitions(spark), "n_bytes", "digest")
     owners = dealt.sortWithinPartitions("content").select(*_FIELDS).mapInArrow(_owners(trie_bytes, ordered=True), _OWNERS)
     owners = owners.select("digest", F.col("owner").alias("keep_id"), F.col("n").alias("group_size"))
-    out = rows.select(F.col("owner").alias("row_id"), "digest").join(owners, "digest")
+    out = spread_join(rows.select(F.col("owner").alias("row_id"), "digest"), owners, "digest")
     return out.select(F.col("row_id").alias(id_col), "keep_id", "group_size", F.col("row_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_digest"))
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns as they are; of rows with equal id and equal text one stays."""
     groups = duplicate_groups(docs, id_col, text_col)
-    kept = groups.where("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_digest").alias("_kept_digest")).distinct()
-    own = docs.withColumn("_digest", F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)))
-    stay = own.join(kept, own[id_col].eqNullSafe(F.col("_kept_id")) & (own["_digest"] == F.col("_kept_digest")), "left_semi")
+    kept = groups.where("kept").select(F.col(id_col).alias("kept_id"), F.col("text_digest").alias("digest")).distinct()
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("kept_id"), F.unhex(F.sha2(normalised(F.col(text_col)).cast("binary"), 256)).alias("digest"))
+    stay = whole.alias("w").join(kept.alias("k"), F.col("w.kept_id").eqNullSafe(F.col("k.kept_id")) & (F.col("w.digest") == F.col("k.digest")), "left_semi")
     # the longest text of an id's copies, as the groups' owners are chosen
-    longest = W.partitionBy(id_col, "_digest").orderBy(F.length(text_col).desc_nulls_last())
-    return stay.withColumn("_copy", F.row_number().over(longest)).where("_copy = 1").select(*docs.columns)
+    longest = W.partitionBy("kept_id", "digest").orderBy(F.length(F.col("row").getField(text_col)).desc_nulls_last())
+    return stay.withColumn("copy", F.row_number().over(longest)).where("copy = 1").select("row.*")

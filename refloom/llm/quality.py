@@ -1,7 +1,7 @@
 """A quality classifier on supervised subword embeddings.
 
-Words and character n-grams inside words are hashed to vectors; a document is the mean of its vectors; a
-softmax over two classes reads it. Vectors and output weights are learned by stochastic gradient descent in
+Words, pairs of neighbouring words and character n-grams inside words are hashed to vectors; a document is the
+mean of its vectors; a softmax over two classes reads it. Vectors and output weights are learned by stochastic gradient descent in
 numpy from a bounded sample of labelled rows. As the softmax of two classes depends on the difference of
 their scores alone, and that is linear in the mean, scoring needs one number for each hash bucket.
 """
@@ -24,11 +24,7 @@ DIMENSIONS = 16
 NGRAMS = (3, 4)
 #: Labelled rows that training takes at most, chosen by a hash of their id; the documented bound of the sample.
 TRAIN_ROWS = 6_000
-#: Code points of a training text beyond which it is left out of training. Scoring has no such limit.
-TRAIN_CHARS = 50_000
-UPDATES, RATE, SEED = 24_000, 0.4, 7
-#: Buckets of the two kinds of word bigram.
-REPEATED, DIFFERENT = 0, 1
+UPDATES, RATE, SEED = 24_000, 1.0, 7
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 
@@ -36,13 +32,13 @@ _U = np.uint64
 
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of every word, every character n-gram inside a word, and every word bigram's kind: a repeated word or two different ones."""
+    """(text, bucket) of every word, every pair of neighbouring words and every character n-gram inside a word."""
     data, n = w.data, len(w.data)
     docs, buckets = [w.doc], [w.hashes % _U(BUCKETS)]
     if len(w.starts) > 1:
         pair = w.doc[1:] == w.doc[:-1]
         docs.append(w.doc[1:][pair])
-        buckets.append(np.where(w.hashes[1:] == w.hashes[:-1], REPEATED, DIFFERENT)[pair].astype(_U))
+        buckets.append(mix(w.hashes[:-1] * _U(3) + w.hashes[1:])[pair] % _U(BUCKETS))
     if n and len(w.starts):
         _, values, _ = _tables()
         power, inverse = _powers(_BYTE_BASE, n + 1)
@@ -78,10 +74,10 @@ class Model:
         return (self.vectors @ (self.weights[1] - self.weights[0])).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
-def bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bounds, distinct buckets, shares): between its bounds each text has its buckets and their shares of its features."""
     bounds, ids, shares = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
-    for _, n, w in words(pa.array(texts, pa.string())):
+    for _, n, w in words(texts):
         doc, bucket = features(w)
         key, count = np.unique(doc * BUCKETS + bucket, return_counts=True)
         of = key // BUCKETS
@@ -91,8 +87,8 @@ def bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(bounds), np.concatenate(ids), np.concatenate(shares)
 
 
-def train(texts: list[str | None], labels: list[int], updates: int = UPDATES, rate: float = RATE, seed: int = SEED) -> Model:
-    """Fit a model. One class only, or no rows, give the share of class 1 (one half without rows) to every text."""
+def train(bags_: list[tuple[np.ndarray, np.ndarray]], labels: list[int], updates: int = UPDATES, rate: float = RATE, seed: int = SEED) -> Model:
+    """Fit a model to texts as (buckets, shares). One class only, or no rows, give the share of class 1 (one half without rows) to every text."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights, bias = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32)
@@ -104,10 +100,10 @@ def train(texts: list[str | None], labels: list[int], updates: int = UPDATES, ra
     if y.min() == y.max():
         return Model(vectors, weights, bias)
     weights[:] = rng.normal(0, 0.1, weights.shape)
-    (bounds, all_ids, all_shares), done = bags(texts), 0
+    done = 0
     while done < updates:
         for i in rng.permutation(len(y)):
-            ids, share_of = all_ids[bounds[i] : bounds[i + 1]], all_shares[bounds[i] : bounds[i + 1]]
+            ids, share_of = bags_[i]
             step = rate * max(0.05, 1 - done / updates)
             done += 1
             if not len(ids):
@@ -129,15 +125,27 @@ def fold(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
+def _bags_of(batches):
+    """Texts to their buckets and shares, so that a long text costs training its distinct buckets, not its length."""
+    for b in batches:
+        bounds, ids, shares = bags(b.column("content"))
+        parts = [(ids[x:y].astype("<i4").tobytes(), shares[x:y].astype("<f4").tobytes()) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        yield pa.RecordBatch.from_pydict({"row_id": b.column("row_id"), "quality": b.column("quality"), "ids": pa.array([p[0] for p in parts], pa.binary()), "shares": pa.array([p[1] for p in parts], pa.binary())})
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
-    """At most rows texts with labels outside the held-out fold. Ids come from labels alone, so no text is shuffled for it."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col) != HELD_OUT)).groupBy(id_col).agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(rows)  # a row is 12 bytes
-    texts = docs.select(id_col, whole_text(text_col).alias("content")).where(F.length("content") <= TRAIN_CHARS)
-    picked = texts.join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.first("quality").alias("quality"), F.min("content").alias("content"))
-    found = picked.select(id_col, "content", "quality").toArrow()
-    order = np.argsort(found.column(id_col).to_numpy(), kind="stable")
-    return pd.DataFrame({"content": found.column("content").to_pylist(), "quality": found.column("quality").to_pylist()}).iloc[order].reset_index(drop=True)
+    """(row_id, quality, ids, shares) of at most rows texts, of any length, with labels outside the held-out fold.
+
+    Ids come from labels alone, so no text is shuffled for it. Of texts with one id the least in order is taken.
+    A text has at most BUCKETS buckets, eight bytes each.
+    """
+    known = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull() & (fold(id_col) != HELD_OUT)).groupBy(F.col(id_col).alias("row_id")).agg(F.min("quality").alias("quality"))
+    chosen = known.orderBy(F.xxhash64("row_id"), "row_id").limit(rows)  # a row is 12 bytes
+    texts = docs.select(F.col(id_col).alias("row_id"), whole_text(text_col).alias("content")).join(F.broadcast(chosen), "row_id")
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = texts.groupBy("row_id").agg(F.first("quality").cast("long").alias("quality"), F.min("content").alias("content")).mapInArrow(_bags_of, f"row_id {kind}, quality long, ids binary, shares binary").toArrow()
+    return found.to_pandas().sort_values("row_id").reset_index(drop=True)
 
 
 def _score(shared):
@@ -187,7 +195,7 @@ def keep_good(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model of the training sample. What training held goes back to the system, as the driver lives on."""
     sample = training_sample(docs, labels, id_col=id_col, text_col=text_col)
-    model = train(sample["content"].tolist(), sample["quality"].tolist())
+    model = train([(np.frombuffer(i, "<i4"), np.frombuffer(x, "<f4")) for i, x in zip(sample["ids"], sample["shares"], strict=True)], sample["quality"].tolist())
     del sample
     give_back_freed()
     return model

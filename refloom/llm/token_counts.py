@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.llm.bpe import encoder
-from refloom.llm.common import scratch_path, small_batches, whole_text
+from refloom.llm.common import scratch_path, small_batches, spread_join, whole_text
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 
@@ -50,7 +50,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     normaliser, so any other change of the text could change its count. Null and empty texts count 0; repeated
     rows and null ids each give a row; other columns are ignored; an empty table gives an empty result and
     writes no counts. Equal contents are collapsed in the map tasks before they are shuffled, so one content
-    that fills a third of the table costs one row for each task.
+    that fills a third of the table costs one row for each task; its rows are dealt over several when counts are
+    joined back to ids.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -59,8 +60,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, id_c
     text = whole_text(text_col)
     rows = docs.select(F.col(id_col), text.alias("content"), F.unhex(F.sha2(text, 256)).alias("content_digest"))
     known = read_cache(spark, cache).where(F.col("tokenizer_digest") == version)
-    missing = rows.select("content_digest", "content").join(known.select("content_digest"), "content_digest", "left_anti")
-    distinct = missing.groupBy("content_digest").agg(F.first("content").alias("content"))
-    distinct.mapInArrow(_count(tokenizer, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
+    distinct = rows.groupBy("content_digest").agg(F.first("content").alias("content"))
+    missing = distinct.join(known.select("content_digest"), "content_digest", "left_anti")  # on the partitioning that the collapse made
+    missing.mapInArrow(_count(tokenizer, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens"))
-    return rows.select(id_col, F.octet_length("content").cast("long").alias("n_bytes"), "content_digest").join(counts, "content_digest", "left").select(id_col, "n_bytes", "n_tokens")
+    sizes = rows.select(id_col, F.octet_length("content").cast("long").alias("n_bytes"), "content_digest")
+    return spread_join(sizes, counts, "content_digest", how="left").select(id_col, "n_bytes", "n_tokens")

@@ -2,16 +2,19 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from refloom.llm import bpe_tree, embedding_dedup, exact_dedup, jaccard_join, packing, quality, repeated_phrases, resharding, token_counts, warc
+from refloom.llm.textkernel import words
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 random.seed(5)
@@ -78,14 +81,14 @@ def test_trie():
     assert dict(trie.pop_all()) == {k: v for k, v in plain.items() if k >= b"ab"} and trie.held == 0
 
 
-@pytest.mark.parametrize("long_chars", [64, 32_768])
-def test_bpe_tree(docs, rows, long_chars):
+@pytest.mark.parametrize(("leaf_chars", "dealt_chars"), [(16, 64), (64, 262_144), (1_024, 262_144)])
+def test_bpe_tree(docs, rows, leaf_chars, dealt_chars):
     t = Tokenizer.from_file(WORD)
     expected = []
     for i, text in rows:
         ids = t.encode(text, add_special_tokens=False).ids
         expected.append((i, ids, t.decode(ids, skip_special_tokens=False)))
-    same(bpe_tree.encode_decode(docs, WORD, long_chars=long_chars), expected)
+    same(bpe_tree.encode_decode(docs, WORD, leaf_chars=leaf_chars, dealt_chars=dealt_chars), expected)
 
 
 def test_bpe_tree_hard_texts():
@@ -93,8 +96,19 @@ def test_bpe_tree_hard_texts():
 
     enc, r = Encoder(WORD), random.Random(3)
     for text in ["a" * 9000, "".join(r.choice("abc") for _ in range(9000)), "".join(r.choice("é́e'sdtlv!. \nßİ日") for _ in range(9000)), "!'s" * 3000, "<|endoftext|>" * 700, "漢" * 5000, " " * 5000]:
-        pieces = bpe_tree.leaves(text, 512)
-        assert bpe_tree.tree(enc, pieces, [enc.spans(p) for p in pieces]).tolist() == enc.hf.encode(text, add_special_tokens=False).ids
+        pieces, expected = bpe_tree.leaves(text, 512), enc.hf.encode(text, add_special_tokens=False).ids
+        assert bpe_tree.tree(enc, pieces, [enc.spans(p) for p in pieces])[0].tolist() == expected
+        assert bpe_tree.grown(enc, [text], 300)[0][0].tolist() == expected
+
+
+def test_bpe_tree_random_texts():
+    from refloom.llm.bpe import Encoder
+
+    for path in (WORD, BYTE):
+        enc, r = Encoder(path), random.Random(4)
+        texts = ["".join(r.choice(["a", "the ", "é", "é", " ", "\n\n", "'s", "1", "23", "-", "日本", "İ", "ß", "\u00a0", "\u3000", ".", "<|", "X", "fox"]) for _ in range(r.randint(0, 400))) for _ in range(150)]
+        for text, got in zip(texts, bpe_tree.grown(enc, texts, 48), strict=True):
+            assert got[0].tolist() == enc.hf.encode(text, add_special_tokens=False).ids, text
 
 
 def test_packing(docs, rows):
@@ -299,6 +313,36 @@ def test_quality(spark, docs):
     assert kept.dtypes == docs.dtypes
 
 
+def auc(scores, labels):
+    place = np.argsort(np.argsort(scores, kind="stable"))
+    ones = labels.sum()
+    return (place[labels == 1].sum() - ones * (ones - 1) / 2) / (ones * (len(labels) - ones))
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="needs the given tables")
+def test_quality_on_given_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    known = docs.join(labels.select("doc_id", "quality"), "doc_id")
+    out = quality.score(known, model).where("held_out").join(known.select("doc_id", "quality", "text"), "doc_id").collect()
+    assert auc(np.asarray([r.score for r in out]), np.asarray([r.quality for r in out])) > 0.93
+    # scored one by one, from the vectors' mean and a softmax
+    for r in out[:40]:
+        (_, _, w), *more = words(pa.array([r.text]))
+        assert not more
+        z = model.weights @ model.vectors[quality.features(w)[1]].mean(axis=0) + model.bias
+        assert abs(1 / (1 + np.exp(z[0] - z[1])) - r.score) < 1e-4
+
+
+def test_training_takes_long_texts(spark):
+    docs = spark.createDataFrame([(i, prose(12_000 if i % 2 else 20, i)) for i in range(1, 9)], "doc_id long, text string")
+    sample = quality.training_sample(docs, spark.createDataFrame([(i, i % 2, 0) for i in range(1, 9)], "doc_id long, quality int, toxic int"))
+    assert set(sample["row_id"]) == {i for i in range(1, 9) if zlib.crc32(str(i).encode()) % 5}
+    for i, ids, shares in zip(sample["row_id"], sample["ids"], sample["shares"], strict=True):
+        (_, ours, theirs) = quality.bags(pa.array([prose(12_000 if i % 2 else 20, i)]))
+        assert np.array_equal(np.frombuffer(ids, "<i4"), ours) and np.allclose(np.frombuffer(shares, "<f4"), theirs)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     vectors, pages = spark.createDataFrame([], "vec_id long, embedding array<float>"), spark.createDataFrame([], "page_id long, url string, html string")
