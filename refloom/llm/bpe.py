@@ -20,6 +20,8 @@ _CUT_AT_SPACE = re.compile("(?<=[!-~À-ɏ])(?= [!-~À-ɏ])")
 # end of a word of Latin letters before any other ASCII character but an apostrophe.
 _WORDS = re.compile("(?<![^ \\t\\n\\r])[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\\x00-&(-@\\[-`{-~]|\\Z)|[^ \\t\\n\\r]+")
 
+_SPACE = re.compile("[ \\t\\n\\r]")
+
 
 def _chunker(spec: dict):
     """How a text may be cut so that the chunks' ids, concatenated, are those of the whole text; None where no rule is known."""
@@ -176,6 +178,11 @@ class Encoder:
             out.append((ids, starts + shift, ends + shift))
         return out
 
+    def boundary(self, text: str, at: int) -> int | None:
+        """The first place from at on where the file's rules always part tokens, or None."""
+        found = None if self.chunks is None or self.hf is None else (_SPACE if self.chunks == _WORDS.findall else _CUT_AT_SPACE).search(text, max(0, at))
+        return found and found.start()
+
     def _places(self, text: str) -> tuple[list[str], list[int]]:
         """The chunks of a text and where they begin."""
         if self.chunks == _WORDS.findall:

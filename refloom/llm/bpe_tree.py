@@ -52,47 +52,72 @@ def _agreement(one, other, low: int, high: int, last: bool) -> tuple[int, int] |
     return pick[0] - 1, pick[1] - 1  # the middle of the run
 
 
-def join(enc: Encoder, text: str, cut: int, left, right):
-    """Tokens (ids, starts, ends) of text from those of text[:cut] and text[cut:]; those of right count from cut."""
-    right = (right[0], right[1] + cut, right[2] + cut)
-    width = WINDOW_CHARS
+class Part:
+    """A stretch of text with its ids. Places of tokens are found near its ends alone, where joins need them."""
+
+    def __init__(self, enc: Encoder, text: str, ids: np.ndarray):
+        self.enc, self.text, self.ids = enc, text, ids
+
+    def _checked(self, text: str, shift: int, last: bool):
+        ids, starts, ends = self.enc.spans_of_chunks([text])[0]
+        own = self.ids[len(self.ids) - len(ids) :] if last else self.ids[: len(ids)]
+        return (ids, starts + shift, ends + shift) if np.array_equal(own, ids) else None
+
+    def tail(self, width: int):
+        """Tokens (ids, starts, ends) of the last width code points at least."""
+        cut = len(self.text) - 2 * width
+        at = self.enc.boundary(self.text, cut) if cut > 0 else None
+        found = self._checked(self.text[at:], at, True) if at is not None and at <= len(self.text) - width else None
+        return found or self.enc.spans_of_chunks([self.text])[0]
+
+    def head(self, width: int):
+        """Tokens (ids, starts, ends) of the first width code points at least."""
+        at = self.enc.boundary(self.text, width)
+        return (self._checked(self.text[:at], 0, False) if at is not None else None) or self.enc.spans_of_chunks([self.text])[0]
+
+
+def join(left: Part, right: Part) -> Part:
+    """One part of two neighbours."""
+    enc, text, cut, width = left.enc, left.text + right.text, len(left.text), WINDOW_CHARS
     while True:
+        tail, (ids, starts, ends) = left.tail(width), right.head(width)
+        head = (ids, starts + cut, ends + cut)
         low, high = max(0, cut - width), min(len(text), cut + width)
         if low:  # a window starts where the left side starts a token, and ends where the right side ends one
-            k = int(np.searchsorted(left[1], low, "right")) - 1
-            low = int(left[1][k]) if k >= 0 else 0
+            k = int(np.searchsorted(tail[1], low, "right")) - 1
+            low = int(tail[1][k]) if k >= 0 else 0
         if high < len(text):
-            k = int(np.searchsorted(right[2], high, "left"))
-            high = int(right[2][k]) if k < len(right[2]) else len(text)
+            k = int(np.searchsorted(head[2], high, "left"))
+            high = int(head[2][k]) if k < len(head[2]) else len(text)
         ids, starts, ends = enc.spans_of_chunks([text[low:high]])[0]
         window = (ids, starts + low, ends + low)
-        a = (0, 0) if low == 0 else _agreement(left, window, low + MARGIN_CHARS, cut - MARGIN_CHARS, last=False)
-        b = (len(right[0]), len(ids)) if high == len(text) else _agreement(right, window, cut + MARGIN_CHARS, high - MARGIN_CHARS, last=True)
+        a = (0, 0) if low == 0 else _agreement(tail, window, low + MARGIN_CHARS, cut - MARGIN_CHARS, last=False)
+        b = (len(right.ids), len(ids)) if high == len(text) else _agreement(head, window, cut + MARGIN_CHARS, high - MARGIN_CHARS, last=True)
         if a and b and a[1] <= b[1]:
-            return tuple(np.concatenate([x[: a[0]], w[a[1] : b[1]], y[b[0] :]]) for x, w, y in zip(left, window, right, strict=True))
+            stop = 0 if low == 0 else len(left.ids) - len(tail[0]) + a[0]
+            return Part(enc, text, np.concatenate([left.ids[:stop], ids[a[1] : b[1]], right.ids[b[0] :]]))
         width *= 2
 
 
-def tree(enc: Encoder, pieces: list[str], tokens: list):
-    """Tokens (ids, starts, ends) of the pieces' concatenation from those of each piece, joined pairwise as they were cut."""
-    level = list(zip(pieces, tokens, strict=True))
-    while len(level) > 1:
-        level = [level[i] if i + 1 == len(level) else (text := level[i][0] + level[i + 1][0], join(enc, text, len(level[i][0]), level[i][1], level[i + 1][1])) for i in range(0, len(level), 2)]
-    return level[0][1]
+def tree(parts: list[Part]) -> np.ndarray:
+    """Ids of the parts' concatenation, joined pairwise as they were cut."""
+    while len(parts) > 1:
+        parts = [parts[i] if i + 1 == len(parts) else join(parts[i], parts[i + 1]) for i in range(0, len(parts), 2)]
+    return parts[0].ids
 
 
-def grown(enc: Encoder, texts: list[str], most: int = LEAF_CHARS) -> list:
-    """Tokens (ids, starts, ends) of each text by a tree of its own; the leaves of all are encoded in one call."""
+def grown(enc: Encoder, texts: list[str], most: int = LEAF_CHARS) -> list[np.ndarray]:
+    """Ids of each text by a tree of its own; the leaves of all are encoded in one call."""
     cut = [leaves(t, most) for t in texts]
-    encoded = iter(enc.spans_of_chunks([p for pieces in cut for p in pieces]))
-    return [tree(enc, pieces, [next(encoded) for _ in pieces]) for pieces in cut]
+    encoded = iter(enc.encode([p for pieces in cut for p in pieces]))
+    return [tree([Part(enc, p, np.frombuffer(next(encoded), "<i4")) for p in pieces]) for pieces in cut]
 
 
 def _in_place(tokenizer: str, with_text: bool, leaf_chars: int):
     def run(batches):
         enc = encoder(tokenizer)
         for b in batches:
-            ids = [t[0].astype("<i4").tobytes() for t in grown(enc, b.column("content").to_pylist(), leaf_chars)]
+            ids = [x.astype("<i4").tobytes() for x in grown(enc, b.column("content").to_pylist(), leaf_chars)]
             yield _result(enc, b.column("row_id"), ids, with_text)
 
     return run
@@ -128,9 +153,8 @@ def _encode_parts(tokenizer: str, leaf_chars: int):
     def run(batches):
         enc = encoder(tokenizer)
         for b in batches:
-            spans = grown(enc, b.column("piece").to_pylist(), leaf_chars)
-            more = {n: pa.array([np.asarray(s[k], "<i4").tobytes() for s in spans], pa.binary()) for k, n in enumerate(("ids", "starts", "ends"))}
-            yield pa.RecordBatch.from_pydict({n: b.column(n) for n in ("row_id", "digest", "leaf", "piece")} | more)
+            ids = grown(enc, b.column("piece").to_pylist(), leaf_chars)
+            yield pa.RecordBatch.from_pydict({n: b.column(n) for n in ("row_id", "digest", "leaf", "piece")} | {"ids": pa.array([x.astype("<i4").tobytes() for x in ids], pa.binary())})
 
     return run
 
@@ -140,8 +164,7 @@ def _join_parts(tokenizer: str, with_text: bool):
         enc = encoder(tokenizer)
         copies = int((group["leaf"] == 0).sum())  # repeated rows cut alike
         group = group.drop_duplicates("leaf").sort_values("leaf")
-        tokens = [tuple(np.frombuffer(x, "<i4").astype(t) for x, t in zip(r, ("<i4", np.int64, np.int64), strict=True)) for r in zip(group["ids"], group["starts"], group["ends"], strict=True)]
-        ids = tree(enc, group["piece"].tolist(), tokens)[0].astype("<i4")
+        ids = tree([Part(enc, p, np.frombuffer(x, "<i4")) for p, x in zip(group["piece"], group["ids"], strict=True)]).astype("<i4")
         out = {"row_id": [group["row_id"].iloc[0]] * copies, "ids": [ids] * copies}
         if with_text:
             out["decoded"] = [enc.decode(ids.tolist())] * copies
@@ -168,6 +191,6 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     near = rows.where(F.length("content") <= dealt_chars).mapInArrow(_in_place(tokenizer, decode, leaf_chars), schema)
     pieces = rows.where(F.length("content") > dealt_chars).mapInArrow(_cut(dealt_chars), "row_id long, digest binary, leaf int, piece string")
     dealt = pieces.repartition(shuffle_partitions(spark), "row_id", "leaf")
-    encoded = dealt.mapInArrow(_encode_parts(tokenizer, leaf_chars), "row_id long, digest binary, leaf int, piece string, ids binary, starts binary, ends binary")
+    encoded = dealt.mapInArrow(_encode_parts(tokenizer, leaf_chars), "row_id long, digest binary, leaf int, piece string, ids binary")
     far = encoded.groupBy("row_id", "digest").applyInPandas(_join_parts(tokenizer, decode), schema)
     return near.unionByName(far).withColumnRenamed("row_id", id_col)

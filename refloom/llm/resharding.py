@@ -1,8 +1,8 @@
 """Resharding by minimum-cost flow.
 
-Rows lie in old shards, each in blocks by a hash of their id. From the blocks' row and byte counts and the
+Rows lie in old shards, each in blocks by the size of its rows. From the blocks' row and byte counts and the
 new shards' capacities a minimum-cost flow decides how many rows of each block go where, so that the fewest
-bytes move. Only files that lose or gain rows are rewritten.
+bytes move; of a block the smallest rows go first. Only files that lose or gain rows are rewritten.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from refloom.llm.common import scratch_path, shuffle_partitions
+from refloom.llm.common import scratch_path, shuffle_partitions, written
 from refloom.llm.flow import Network
 
-#: Blocks of an old shard, and cells of a block: the plan's size depends on these alone, not on the rows.
-BLOCKS = 16
-CELLS = 64
+#: A block holds the rows of a shard whose sizes have one binary logarithm, in SUBS equal ranges of sizes; a range of more than CELL_ROWS rows is dealt over cells.
+SUBS = 64
+CELL_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -33,35 +33,30 @@ class Transfer:
     slot: int
 
 
-def capacities(rows: int, shards: int, now: dict[int, int]) -> list[int]:
-    """Equal counts, at most one apart; the larger ones go to the shards that have the most rows now."""
-    low, more = divmod(rows, shards)
-    first = sorted(range(shards), key=lambda j: (-now.get(j, 0), j))[:more]
-    return [low + (j in first) for j in range(shards)]
-
-
 def plan_transfers(blocks: list[tuple[int, int, int, int]], shards: int) -> list[Transfer]:
     """Transfers that move the fewest bytes, from (old shard, block, rows, bytes) of every block.
 
-    A row of a block costs the block's mean bytes to move and nothing to leave; what moves goes over one node
-    between old and new shards, as all moves of a row cost alike.
+    Every new shard has the same number of rows, at most one apart; the flow decides which have one more. A row
+    costs its block's mean bytes to move and nothing to leave; what moves goes over one node between old and new
+    shards, as all moves of a row cost alike. As counts fix what each old shard gives, but for one row, and a
+    block's smallest rows move first, the choice is the best for the rows' own sizes too, but for that one row.
     """
-    rows: dict[int, int] = {}
-    for old, _, n, _ in blocks:
-        rows[old] = rows.get(old, 0) + n
-    room = capacities(sum(rows.values()), shards, rows)
-    source, sink, between = 0, 1, 2
-    net = Network(3 + shards + len(blocks))
+    total = sum(n for _, _, n, _ in blocks)
+    low, more = divmod(total, shards)
+    source, sink, between, extra = 0, 1, 2, 3
+    net = Network(4 + shards + len(blocks))
+    net.add(extra, sink, more, 0)
     for j in range(shards):
-        net.add(3 + j, sink, room[j], 0.0)
-        net.add(between, 3 + j, room[j], 0.0)
+        net.add(4 + j, sink, low, 0)
+        net.add(4 + j, extra, 1, 0)
+    into = [net.add(between, 4 + j, low + 1, 0) for j in range(shards)]
     stays, moves = [], []
     for k, (old, _, n, size) in enumerate(blocks):
-        node = 3 + shards + k
-        net.add(source, node, n, 0.0)
-        stays.append(net.add(node, 3 + old, n, 0.0) if old < shards else None)
-        moves.append(net.add(node, between, n, size / max(1, n)))
-    if net.solve(source, sink) != sum(rows.values()):
+        node = 4 + shards + k
+        net.add(source, node, n, 0)
+        stays.append(net.add(node, 4 + old, n, 0) if old < shards else None)
+        moves.append(net.add(node, between, n, size // max(1, n)))
+    if net.solve(source, sink) != total:
         raise RuntimeError("the capacities do not hold all rows")
     taken, out = [0] * shards, []
 
@@ -69,19 +64,18 @@ def plan_transfers(blocks: list[tuple[int, int, int, int]], shards: int) -> list
         out.append(Transfer(blocks[k][0], blocks[k][1], low, low + n, shard, taken[shard]))
         taken[shard] += n
 
-    stay = [0 if a is None else net.flow(a) for a in stays]
-    for k, n in enumerate(stay):
-        if n:
-            give(k, 0, n, blocks[k][0])
-    shard = 0
+    for k, arc in enumerate(stays):
+        if arc is not None and net.flow(arc):
+            give(k, net.flow(moves[k]), net.flow(arc), blocks[k][0])
+    left, shard = [net.flow(arc) for arc in into], 0
     for k, arc in enumerate(moves):
-        low, n = stay[k], net.flow(arc)
+        low, n = 0, net.flow(arc)
         while n:
-            while taken[shard] == room[shard]:
+            while not left[shard]:
                 shard += 1
-            part = min(n, room[shard] - taken[shard])
+            part = min(n, left[shard])
             give(k, low, part, shard)
-            low, n = low + part, n - part
+            low, n, left[shard] = low + part, n - part, left[shard] - part
     return out
 
 
@@ -91,13 +85,24 @@ def row_sizes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def lay_out(docs: DataFrame, old_shards: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write docs as old_shards shards of BLOCKS files each, by a hash of the id: (row_id, content, size, cell) in folders old=/block=."""
-    h = F.xxhash64("row_id")
-    laid = row_sizes(docs, id_col, text_col).withColumns({"old": F.pmod(h, F.lit(old_shards)).cast("int"), "block": F.pmod(F.shiftrightunsigned(h, 20), F.lit(BLOCKS)).cast("int"), "cell": F.pmod(F.shiftrightunsigned(h, 40), F.lit(CELLS)).cast("int")})
-    laid.repartition(max(shuffle_partitions(docs.sparkSession), 1), "old", "block").sortWithinPartitions("old", "block").write.partitionBy("old", "block").parquet(path)
+    """Write docs as old_shards shards by a hash of the id, null ids anywhere: (row_id, content, size, sub, cell, rank) in folders old=/block=.
 
-
-_LAID = "row_id long, content string, size long, cell int, old int, block int"
+    rank counts the rows of a cell by size. Ranges of folders are dealt over tasks, so a folder of many bytes has several files.
+    """
+    seq = F.monotonically_increasing_id()  # tells rows apart that have nothing else to
+    rows = row_sizes(docs, id_col, text_col).withColumn("seq", seq).withColumns({"old": F.pmod(F.xxhash64(F.coalesce("row_id", "seq")), F.lit(old_shards)).cast("int"), "block": F.floor(F.log2("size")).cast("int")})
+    base = F.shiftleft(F.lit(1).cast("long"), F.col("block"))
+    rows = rows.withColumn("sub", F.expr(f"int((size - shiftleft(1L, block)) * {SUBS} div shiftleft(1L, block))"))
+    del base
+    crowded = rows.groupBy("old", "block", "sub").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("n_cells")).where("n_cells > 1")  # at most one row for CELL_ROWS rows
+    rows = rows.join(F.broadcast(crowded), ["old", "block", "sub"], "left").withColumn("cell", F.pmod(F.xxhash64("seq"), F.coalesce("n_cells", F.lit(1))).cast("int"))
+    place = ["old", "block", "sub", "cell"]
+    dealt = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *place)
+    ranked = dealt.withColumn("rank", F.row_number().over(W.partitionBy(*place).orderBy("size", "seq")) - 1)
+    ranked.select("row_id", "content", "size", "sub", "cell", F.col("rank").cast("long"), "old", "block").write.partitionBy("old", "block").parquet(path)
+
+
+_LAID = "row_id long, content string, size long, sub int, cell int, rank long, old int, block int"
 _RESHARDED = "row_id long, content string, size long, slot long, shard int"
 
 
@@ -105,26 +110,25 @@ def reshard(spark: SparkSession, old_path: str, new_path: str, shards: int) -> D
     """Rows (row_id, content, size, shard, slot) over shards whose counts differ by one at most.
 
     Blocks that stay whole are read from the old files; the rows of all others are rewritten below new_path, by
-    shard. Repeated rows are placed each; null ids hash alike and fill one cell, so they must be few; an empty
-    table gives no rows. The plan has at most old shards times BLOCKS entries, and ranks inside a block are
-    made from the counts of its CELLS, so no window holds more than a cell.
+    shard. Repeated rows and null ids are placed each; an empty table gives no rows. Texts are neither shuffled
+    nor sorted for it: a row's rank in its block is its rank in its cell, which lies in the file, after the rows of
+    the cells before, of which there are some thousands and one for CELL_ROWS rows.
     """
     laid = spark.read.schema(_LAID).parquet(old_path)
-    cells = laid.groupBy("old", "block", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-    blocks = [tuple(r) for r in cells.groupBy("old", "block").agg(F.sum("n"), F.sum("bytes")).orderBy("old", "block").collect()]
+    cells = written(laid.groupBy("old", "block", "sub", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")), "cells")
+    blocks = [tuple(r) for r in cells.groupBy("old", "block").agg(F.sum("n"), F.sum("bytes")).orderBy("old", "block").collect()]  # some 20 a shard
     transfers = plan_transfers(blocks, shards)
     counts = {(old, block): n for old, block, n, _ in blocks}
     columns = "old int, block int, low long, high long, shard int, slot long, whole boolean"
-    stays = [(t.old, t.block, t.low, t.high, t.shard, t.slot, t.shard == t.old and t.high - t.low == counts[t.old, t.block]) for t in transfers]
-    plan = F.broadcast(spark.createDataFrame(stays, columns))  # at most old shards * BLOCKS + shards rows
-    order = W.partitionBy("old", "block").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    bases = F.broadcast(cells.select("old", "block", "cell", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")))  # old shards * BLOCKS * CELLS rows
-    affected = sorted({(t[0], t[1]) for t in stays if not t[6]})
+    plan_rows = [(t.old, t.block, t.low, t.high, t.shard, t.slot, t.shard == t.old and t.high - t.low == counts[t.old, t.block]) for t in transfers]
+    plan = F.broadcast(spark.createDataFrame(plan_rows, columns))  # blocks and shards rows at most
+    order = W.partitionBy("old", "block").orderBy("sub", "cell").rowsBetween(W.unboundedPreceding, -1)
+    bases = F.broadcast(cells.select("old", "block", "sub", "cell", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")))
+    affected = sorted({(t[0], t[1]) for t in plan_rows if not t[6]})
     touched = F.concat_ws("/", "old", "block").isin([f"{a}/{b}" for a, b in affected]) if affected else F.lit(False)
-    within = W.partitionBy("old", "block", "cell").orderBy("row_id", "size")
 
     def placed(rows: DataFrame) -> DataFrame:
-        ranked = rows.join(bases, ["old", "block", "cell"]).withColumn("rank", F.col("base") + F.row_number().over(within) - 1)
+        ranked = rows.join(bases, ["old", "block", "sub", "cell"]).withColumn("rank", F.col("base") + F.col("rank"))
         to = plan.withColumnRenamed("slot", "first")
         hit = (ranked["old"] == to["old"]) & (ranked["block"] == to["block"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
         return ranked.join(to, hit).select("row_id", "content", "size", (F.col("first") + F.col("rank") - F.col("low")).alias("slot"), "shard")

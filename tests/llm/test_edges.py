@@ -97,8 +97,8 @@ def test_bpe_tree_hard_texts():
     enc, r = Encoder(WORD), random.Random(3)
     for text in ["a" * 9000, "".join(r.choice("abc") for _ in range(9000)), "".join(r.choice("é́e'sdtlv!. \nßİ日") for _ in range(9000)), "!'s" * 3000, "<|endoftext|>" * 700, "漢" * 5000, " " * 5000]:
         pieces, expected = bpe_tree.leaves(text, 512), enc.hf.encode(text, add_special_tokens=False).ids
-        assert bpe_tree.tree(enc, pieces, [enc.spans(p) for p in pieces])[0].tolist() == expected
-        assert bpe_tree.grown(enc, [text], 300)[0][0].tolist() == expected
+        assert bpe_tree.tree([bpe_tree.Part(enc, p, enc.spans(p)[0]) for p in pieces]).tolist() == expected
+        assert bpe_tree.grown(enc, [text], 300)[0].tolist() == expected
 
 
 def test_bpe_tree_random_texts():
@@ -108,7 +108,7 @@ def test_bpe_tree_random_texts():
         enc, r = Encoder(path), random.Random(4)
         texts = ["".join(r.choice(["a", "the ", "é", "é", " ", "\n\n", "'s", "1", "23", "-", "日本", "İ", "ß", "\u00a0", "\u3000", ".", "<|", "X", "fox"]) for _ in range(r.randint(0, 400))) for _ in range(150)]
         for text, got in zip(texts, bpe_tree.grown(enc, texts, 48), strict=True):
-            assert got[0].tolist() == enc.hf.encode(text, add_special_tokens=False).ids, text
+            assert got.tolist() == enc.hf.encode(text, add_special_tokens=False).ids, text
 
 
 def test_packing(docs, rows):
