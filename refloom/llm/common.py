@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import shutil
 import sys
 import tempfile
+import threading
 import types
 import uuid
 
@@ -13,8 +16,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SCRATCH: list[str] = []
 _ROOT: dict[str, str] = {}
+_OPEN = threading.local()
+
+
+class Scratch:
+    """The scratch tables of one owner: those that its thread writes inside the with block. They stay until release(), as results are lazy."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        _OPEN.owners = [*getattr(_OPEN, "owners", []), self]
+        return self
+
+    def __exit__(self, *_) -> None:
+        _OPEN.owners = _OPEN.owners[:-1]
+
+    def release(self) -> None:
+        while self.paths:
+            delete_path(self.spark, self.paths.pop())
 
 
 def worker_state() -> types.ModuleType:
@@ -59,13 +80,17 @@ def shared_root(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _ROOT:
-        _ROOT[key] = "file://" + tempfile.mkdtemp(prefix="refloom-")
+        folder = tempfile.mkdtemp(prefix="refloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _ROOT[key] = "file://" + folder
     return _ROOT[key]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. It belongs to the innermost Scratch that is open; without one it stays as long as the folder."""
     path = f"{shared_root(spark)}/refloom-{name}-{uuid.uuid4().hex}"
-    _SCRATCH.append(path)
+    for owner in getattr(_OPEN, "owners", [])[-1:]:
+        owner.paths.append(path)
     return path
 
 
@@ -82,16 +107,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release_scratch(spark: SparkSession, *keep: DataFrame) -> None:
-    """Delete the scratch tables of earlier operators, but those that a frame in keep reads."""
-    used = [f for df in keep for f in df.inputFiles()]
-    for path in list(_SCRATCH):
-        mark = path.rsplit("/", 1)[1]
-        if not any(mark in f for f in used):
-            delete_path(spark, path)
-            _SCRATCH.remove(path)
-
-
 #: Hashes of heavy keys that are looked for, rows from which a key is heavy, and parts that its rows are dealt over.
 HEAVY_KEYS, HEAVY_ROWS, SPREAD = 256, 1000, 64
 

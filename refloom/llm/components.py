@@ -45,3 +45,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         state = tuple(row)
         now = written(_small_star(_large_star(now)), "edges")
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+
+
+def merged(known: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node, component) after more edges (a, b): they are put between the roots that known (node, component) has, and only those are connected anew."""
+    if known is None:
+        return written(components(edges), "components")
+    for side in ("a", "b"):
+        named = known.select(F.col("node").alias(side), F.col("component").alias("root"))
+        edges = edges.join(named, side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+    roots = written(components(edges.select("a", "b").where("a != b").distinct()), "roots")
+    moved = known.join(roots.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    moved = moved.select("node", F.coalesce("to", "component").alias("component"))
+    return written(moved.unionByName(roots.join(known.select("node"), "node", "left_anti")), "components")

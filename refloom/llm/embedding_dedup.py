@@ -205,7 +205,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     packed = good.mapInArrow(_packed, "vec_id long, raw binary").withColumn("digest", F.unhex(F.sha2("raw", 256)))
     nodes = written(packed.groupBy("digest").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.first("raw").alias("raw")), "vectors")
     hashed = written(nodes.repartition(parts, "node").mapInArrow(_hashed(dtype), "tab int, bucket long, node long"), "buckets")
-    counts = hashed.groupBy("tab", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    # buckets with the same members in several tables are compared in the first of them: what meets in one meets there
+    marks = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"mark{k}") for k in range(2)]
+    counts = hashed.groupBy("tab", "bucket").agg(F.count(F.lit(1)).alias("n"), *marks).where(F.col("n") > 1)
+    counts = counts.groupBy("n", "mark0", "mark1").agg(F.min(F.struct("tab", "bucket")).alias("at")).select("at.tab", "at.bucket", "n")
     met = hashed.join(counts, ["tab", "bucket"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # one for all but large buckets

@@ -2,11 +2,12 @@
 
 A document is its set of distinct word shingles. Shingles are put in one global order, rare ones first; two
 sets that are similar enough share a shingle in their prefixes under it. Documents with the same set size and
-the same prefix form a group, and only groups are matched by the shingles of their prefixes. Groups are then
-expanded to their classes (members with equal sets) and verified on whole sets.
+the same prefix form a group, and only groups are matched by the shingles of their prefixes. Pairs of groups are
+filtered by size and by the places of the shingle they share; those left are expanded to pairs of their classes
+(members with equal sets), which are verified on whole sets.
 
 As components are asked for, not pairs, classes that are already connected need no further check: each list
-of classes that share a shingle is first verified against its best members alone, and only pairs across what is
+of groups that share a shingle is first verified against its best group alone, and only pairs across what is
 still unconnected are verified one by one.
 """
 
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from refloom.llm.common import shuffle_partitions, small_batches, whole_text, written
-from refloom.llm.components import components, free_shuffles
+from refloom.llm.common import shuffle_partitions, small_batches, spread_join, whole_text, written
+from refloom.llm.components import free_shuffles, merged
 from refloom.llm.textkernel import mix, words
 
 SHINGLE = 5
@@ -29,8 +30,10 @@ THRESHOLD = Fraction(3, 4)
 #: Cells of the table of shingle counts that orders them: 2^16 to 2^22, four bytes each, whatever the corpus holds.
 LEAST_CELLS_LOG2, MOST_CELLS_LOG2 = 16, 22
 FLUSH = 1 << 19
-#: Rounds in which nodes meet at most ASKED nodes of a component of at least CROWD nodes in a list; what they leave apart is compared exactly after them.
+#: Rounds in which groups meet at most ASKED groups of a component of at least CROWD in a list; what they leave apart is compared exactly after them.
 ROUNDS, ASKED, CROWD = 2, 8, 4
+#: Groups of a list that are paired as one block.
+BLOCK = 256
 
 _U = np.uint64
 
@@ -273,10 +276,31 @@ def _fits(a: str, b: str, threshold: Fraction) -> F.Column:
 
 
 class _Linker:
-    """Verifies pairs of classes and keeps the links and the pairs that were looked at."""
-
-    def __init__(self, texts: DataFrame, threshold: Fraction):
-        self.texts, self.threshold, self.done = texts, threshold, None
+    """Expands pairs of groups to pairs of classes, verifies those, and keeps what was looked at and what hangs together."""
+
+    def __init__(self, classes: DataFrame, texts: DataFrame, threshold: Fraction):
+        self.classes, self.texts, self.threshold = classes.select("grp", "node"), texts, threshold
+        self.done: DataFrame | None = None
+        self.components: DataFrame | None = None
+
+    def rooted(self, nodes: DataFrame) -> DataFrame:
+        """nodes with the component of each."""
+        if self.components is None:
+            return nodes.withColumn("component", F.col("node"))
+        return nodes.join(self.components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def expanded(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of classes that are not connected, from distinct pairs (grp, other) of groups."""
+        members = self.rooted(self.classes)
+        one = members.select("grp", F.col("node").alias("x"), F.col("component").alias("root_x"))
+        two = members.select(F.col("grp").alias("other"), F.col("node").alias("y"), F.col("component").alias("root_y"))
+        apart = pairs.join(one, "grp").join(two, "other").where((F.col("x") != F.col("y")) & (F.col("root_x") != F.col("root_y")))
+        return apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    def met_by(self, pivots: DataFrame, *of: str) -> DataFrame:
+        """Pairs (a, b) of the classes of a group, or of a component in it, with one class (pivot) of another group: (grp, component, pivot)."""
+        pairs = pivots.join(self.rooted(self.classes), list(of)).where(F.col("node") != F.col("pivot"))
+        return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
 
     def verify(self, pairs: DataFrame) -> None:
         pairs = pairs.select("a", "b").distinct()
@@ -285,12 +309,10 @@ class _Linker:
         one = self.texts.select(F.col("node").alias("b"), F.col("content").alias("text_b"))
         two = self.texts.select(F.col("node").alias("a"), F.col("content").alias("text_a"))
         checked = written(pairs.join(one, "b").join(two, "a").mapInArrow(_verified(self.threshold), "a long, b long, linked boolean"), "verified")
-        self.done = checked if self.done is None else self.done.unionByName(checked)
+        self.done = checked.select("a", "b") if self.done is None else self.done.unionByName(checked.select("a", "b"))
+        self.components = merged(self.components, checked.where("linked").select("a", "b"))
         free_shuffles(self.done)
 
-    def components(self) -> DataFrame:
-        return components(self.done.where("linked").select("a", "b"))
-
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = THRESHOLD) -> DataFrame:
     """(id, n_shingles, component_id) of every row.
@@ -315,53 +337,55 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # classes: members with equal sets; a class is named by its smallest row id
     members = matched.where(F.col("list").isNull())
     classes = written(members.groupBy("grp", "size", "whole").agg(F.min("row_id").alias("node")), "classes")
-    of_groups = classes.select("grp", "node", F.col("size").alias("of_size"))
-    entries = matched.where(F.col("list").isNotNull()).join(of_groups.select("grp", "node"), "grp").select("list", "node", "size", "place", "score")
-    crowded = W.partitionBy("grp")
-    inside = classes.withColumn("n", F.count(F.lit(1)).over(crowded)).where(F.col("n") > 1)
-    inside = inside.select(F.xxhash64(F.col("grp"), F.lit("group")).alias("list"), "node", "size", F.lit(0).alias("place"), F.lit(1.0).cast("float").alias("score"))
-    entries = written(entries.unionByName(inside), "entries")
-    needed = entries.select("node").distinct()
+    groups = classes.groupBy("grp").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    inside = groups.where("n > 1").select(F.xxhash64(F.col("grp"), F.lit("group")).alias("list"), "grp", "size", F.lit(0).alias("place"), F.lit(1.0).cast("float").alias("score"))
+    entries = written(matched.where(F.col("list").isNotNull()).select("list", "grp", "size", "place", "score").unionByName(inside), "entries")
+    needed = classes.join(entries.select("grp").distinct(), "grp", "left_semi").select("node")
     texts = written(named.join(needed, F.col("row_id") == F.col("node"), "left_semi").groupBy(F.col("row_id").alias("node")).agg(F.first("content").alias("content")), "texts")
     free_shuffles(texts)
-    linker = _Linker(texts, threshold)
-
-    def met(pairs: DataFrame) -> DataFrame:
-        return pairs.where((F.col("node") != F.col("node_p")) & _fits("", "_p", threshold)).select("node", F.col("node_p").alias("pivot"))
-
-    def ordered(pairs: DataFrame, one: str, two: str) -> DataFrame:
-        return pairs.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
-
-    def as_pivot(struct: str) -> list:
-        return [F.col(f"{struct}.{c}").alias(f"{c}_p") for c in ("node", "size", "place")]
-
-    best = entries.groupBy("list").agg(F.max(F.struct("score", (-F.col("node")).alias("less"), "node", "size", "place")).alias("best"))
-    linker.verify(ordered(met(entries.join(best.select("list", *as_pivot("best")), "list")), "node", "pivot"))
-
-    def labelled() -> DataFrame:
-        """The entries of lists whose nodes are not all connected yet."""
-        found = entries.join(linker.components(), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    linker = _Linker(classes, texts, threshold)
+
+    def labelled(turn: int) -> DataFrame:
+        """Entries of lists once for each component of their groups' classes, with their number and one of them; connected lists are left out. At turn 0 nothing is connected and groups are whole."""
+        roots = linker.rooted(linker.classes).groupBy("grp", *(["component"] if turn else [])).agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("one"))
+        found = entries.join(roots, "grp")
+        if not turn:
+            return found
         apart = found.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("list")
         return written(found.join(apart, "list"), "labelled")
 
-    # what is still apart from the largest component of its lists meets some of that component's nodes, others in each list
-    for _ in range(ROUNDS):
-        found = labelled()
-        sizes = found.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("list", "node").alias("h"), "node", "size", "place")).alias("one"))
-        main = sizes.groupBy("list").agg(F.max(F.struct("n", "component", "one")).alias("m")).where(F.col("m.n") >= CROWD)
-        main = main.select("list", F.col("m.component").alias("main"), *as_pivot("m.one"))
-        asked = met(found.join(main, "list").where(F.col("component") != F.col("main"))).distinct()
-        asked = asked.withColumn("n", F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("node", "pivot")))).where(F.col("n") <= ASKED)
-        linker.verify(ordered(asked, "node", "pivot"))
-
-    # the rest, exactly: every pair that may be similar and is not connected
-    found = labelled()
-    left, right = (found.select("list", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "place", "component"))) for s in ("a", "b"))
-    across = left.join(right, "list").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _fits("_a", "_b", threshold))
-    linker.verify(ordered(across, "node_a", "node_b"))
-
-    by_class = classes.join(linker.components(), "node", "left").select("grp", "size", "whole", F.coalesce("component", "node").alias("component_id"))
-    linked = members.join(by_class, ["grp", "size", "whole"]).select("row_id", F.col("size").cast("long").alias("n_shingles"), "component_id")
+    def as_pivot(struct: str) -> list:
+        return [F.col(f"{struct}.{c}").alias(f"{c}_p") for c in ("size", "place")] + [F.col(f"{struct}.one").alias("pivot")]
+
+    # a class of each list's best group meets the classes of all its groups that fit
+    found = labelled(0)
+    best = found.groupBy("list").agg(F.max(F.struct("score", "grp", "size", "place", "one")).alias("best")).select("list", *as_pivot("best"))
+    met = found.join(best, "list").where(_fits("", "_p", threshold)).select("grp", "pivot").distinct()
+    linker.verify(linker.met_by(met, "grp"))
+
+    # what is still apart from the largest component of its lists meets some of that component's classes, others in each list
+    for turn in range(1, ROUNDS + 1):
+        found = labelled(turn)
+        sizes = found.groupBy("list", "component").agg(F.sum("n").alias("n"), F.min(F.struct(F.xxhash64("list", "grp").alias("h"), "size", "place", "one")).alias("first"))
+        main = sizes.groupBy("list").agg(F.max(F.struct("n", "component", "first")).alias("m")).where(F.col("m.n") >= CROWD)
+        main = main.select("list", F.col("m.component").alias("main"), *as_pivot("m.first"))
+        asked = found.join(main, "list").where((F.col("component") != F.col("main")) & _fits("", "_p", threshold)).select("grp", "component", "pivot").distinct()
+        asked = asked.withColumn("n", F.row_number().over(W.partitionBy("grp", "component").orderBy(F.xxhash64("grp", "pivot")))).where(F.col("n") <= ASKED)
+        linker.verify(linker.met_by(asked.select("grp", "component", "pivot"), "grp", "component"))
+
+    # the rest, exactly: every pair of groups that may be similar and has classes that are not connected; a long list is cut into blocks, each pair of which is a key of its own
+    found = labelled(ROUNDS + 1)
+    long = found.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    cut = found.join(long, "list").withColumn("block", F.pmod(F.xxhash64("grp", "component"), F.col("blocks")).cast("int"))
+    columns = ("grp", "size", "place", "component")
+    left = cut.select("list", F.col("block").alias("low"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("high"), *(F.col(c).alias(f"{c}_a") for c in columns))
+    right = cut.select("list", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("low"), F.col("block").alias("high"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    across = left.join(right, ["list", "low", "high"]).where((F.col("component_a") != F.col("component_b")) & _fits("_a", "_b", threshold))
+    rest = across.select(F.least("grp_a", "grp_b").alias("grp"), F.greatest("grp_a", "grp_b").alias("other")).distinct()
+    linker.verify(linker.expanded(rest))
+
+    by_class = linker.rooted(classes).select(F.struct("grp", "size", "whole").alias("class"), F.col("component").alias("component_id"))
+    linked = spread_join(members.select("row_id", "size", F.struct("grp", "size", "whole").alias("class")), by_class, "class").select("row_id", F.col("size").cast("long").alias("n_shingles"), "component_id")
     bare = rows.where(F.col("row_id").isNull() | ~F.col("content").rlike("[^\\x20\\x09-\\x0D]"))
     alone = bare.mapInArrow(_sizes, "row_id long, n_shingles long").withColumn("component_id", F.col("row_id"))
     return linked.unionByName(alone).withColumnRenamed("row_id", id_col)
@@ -376,5 +400,6 @@ def _sizes(batches):
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = THRESHOLD) -> DataFrame:
     """The rows of docs whose id is their component's, all columns as they are; rows with a null id stay. An id names one document."""
     found = similar_components(docs, id_col, text_col, threshold)
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone_id"), "left_anti")
+    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("id")).distinct()
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"))
+    return whole.join(gone, "id", "left_anti").select("row.*")

@@ -91,9 +91,7 @@ def lay_out(docs: DataFrame, old_shards: int, path: str, id_col: str = "doc_id",
     """
     seq = F.monotonically_increasing_id()  # tells rows apart that have nothing else to
     rows = row_sizes(docs, id_col, text_col).withColumn("seq", seq).withColumns({"old": F.pmod(F.xxhash64(F.coalesce("row_id", "seq")), F.lit(old_shards)).cast("int"), "block": F.floor(F.log2("size")).cast("int")})
-    base = F.shiftleft(F.lit(1).cast("long"), F.col("block"))
     rows = rows.withColumn("sub", F.expr(f"int((size - shiftleft(1L, block)) * {SUBS} div shiftleft(1L, block))"))
-    del base
     crowded = rows.groupBy("old", "block", "sub").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("n_cells")).where("n_cells > 1")  # at most one row for CELL_ROWS rows
     rows = rows.join(F.broadcast(crowded), ["old", "block", "sub"], "left").withColumn("cell", F.pmod(F.xxhash64("seq"), F.coalesce("n_cells", F.lit(1))).cast("int"))
     place = ["old", "block", "sub", "cell"]

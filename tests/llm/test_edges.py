@@ -230,6 +230,29 @@ def test_resharding(docs, rows):
     assert max(sizes) - min(sizes) <= 1
 
 
+def test_resharding_moves_the_smallest_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(resharding, "CELL_ROWS", 40)
+    r = random.Random(12)
+    sizes = [r.choice([5, 5, 20, 21, 90, 300, 2000]) for _ in range(500)]
+    rows = [(i if i % 3 else None, "x" * n) for i, n in enumerate(sizes)] + [(7, "same")] * 200
+    old, new = f"file://{tmp_path}/old", f"file://{tmp_path}/new"
+    resharding.lay_out(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, old)
+    before = [(x.old, x.row_id, x.content) for x in spark.read.parquet(old).collect()]
+    for shards in (7, 3):
+        out = resharding.reshard(spark, old, new + str(shards), shards).collect()
+        counts = [sum(x.shard == j for x in out) for j in range(shards)]
+        assert max(counts) - min(counts) <= 1 and sorted((x.shard, x.slot) for x in out) == [(j, k) for j in range(shards) for k in range(counts[j])]
+        least = 0
+        for k in range(5):  # what a shard gives are its smallest rows
+            mine = sorted(len(c) + 8 for o, _, c in before if o == k)
+            least += sum(mine[: max(0, len(mine) - counts[k])]) if k < shards else sum(mine)
+        stay = sum(counts) - sum(max(0, sum(o == k for o, _, _ in before) - (counts[k] if k < shards else 0)) for k in range(5))
+        written = sum(x.size for x in out)
+        assert stay > 0 and least < written
+        plan = [t for t in resharding.plan_transfers([tuple(x) for x in spark.read.parquet(old).groupBy("old", "block").agg({"old": "count", "size": "sum"}).orderBy("old", "block").select("old", "block", "count(old)", "sum(size)").collect()], shards)]
+        assert sum(t.high - t.low for t in plan if t.shard != t.old) == len(before) - stay
+
+
 def test_transfers_move_the_fewest_bytes():
     # shard 0 has 4 rows too many, and its second block is the lighter one
     blocks = [(0, 0, 6, 6000), (0, 1, 6, 600), (1, 0, 4, 400)]

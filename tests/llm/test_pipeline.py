@@ -76,3 +76,28 @@ def test_run(spark, folder):
     pieces = corpus_pipeline.run(spark, folder).collect()
     places = sorted((p.sequence_id, p.offset, p.length) for p in pieces)
     assert np.array_equal(np.cumsum([0] + [x[2] for x in places[:-1]]), [s * 2048 + o for s, o, _ in places])
+
+
+def test_results_of_others_outlive_the_pipeline(spark, folder):
+    from refloom.llm import embedding_dedup, packing
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    lazy = packing.concatenate_and_cut(docs, WORD, 1)
+    vectors = embedding_dedup.near_duplicates(spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "vec_id long, embedding array<float>"))
+    corpus_pipeline.run(spark, folder).count()
+    assert lazy.select("doc_id").distinct().count() == docs.count() and vectors.count() == 20
+
+
+def test_empty_table_and_clashing_columns(spark, tmp_path):
+    clash = ["_digest", "_copy", "_kept_id", "_gone_id", "row", "text_key", "_salt", "kept_id", "digest", "copy", "content", "id"]
+    spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash)
+    for rows in ([], [(i, t, "en", "s", len(t or ""), *clash) for i, t in enumerate([prose(40, 7), prose(40, 7) + " ", prose(41, 8), None])]):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = tmp_path / f"{name}-{len(rows)}"
+            stage(spark, docs, str(tmp_path)).write.parquet(str(out))
+            last, docs = docs, spark.read.parquet(str(out))
+            if name != "packing":
+                assert docs.columns == last.columns and {tuple(r[c] for c in clash) for r in docs.collect()} == {tuple(clash)} - (set() if rows else {tuple(clash)})
+        assert bool(docs.count()) == bool(rows)
