@@ -1,4 +1,4 @@
-"""python -m refloom scan|audit|renumber|relink: Word documents from the command line.
+"""python -m refloom scan|audit|renumber|relink|call: Word documents, and single tools of the library, from the command line.
 
 Exit code 0: done and in order; 1: a discrepancy was found; 2: a wrong argument or an unreadable file.
 """
@@ -46,7 +46,20 @@ def main(argv: list[str] | None = None) -> int:
     relink.add_argument("pairs", nargs="+", metavar="OLD=NEW")
     for p in (renumber, relink):
         p.add_argument("--out", help="folder to write to")
+        p.add_argument("--dry-run", action="store_true", help="count the changes and write nothing")
+    call = commands.add_parser("call", help="call one tool of the library")
+    call.add_argument("tool")
+    call.add_argument("arguments", nargs="?", default="{}", type=json.loads)
     args = parser.parse_args(argv)
+    if args.command == "call":
+        from refloom.sources.rpc import RpcError, shared_client
+
+        try:
+            print(json.dumps(shared_client().call(args.tool, args.arguments), ensure_ascii=False, indent=1))
+        except RpcError as e:
+            print(e, file=sys.stderr)
+            return 1
+        return 0
     paths = [getattr(args, n) for n in ("path", "source", "output", "mapping") if getattr(args, n, None)]
     if missing := [p for p in paths if "://" not in p and not any(c in p for c in "*?[{") and not os.path.exists(p)]:
         print(f"no such file: {missing[0]}", file=sys.stderr)
@@ -63,9 +76,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "audit":
         mapping = spark.read.schema("item_key string, doi string").json(args.mapping)
         found = repair.audit_documents(_documents(spark, args.source, "doc"), _documents(spark, args.output, "doc"), mapping)
-        problems = found.where("why is not null").limit(1000).collect()
-        print(json.dumps([r.asDict() for r in problems], ensure_ascii=False, indent=1))
-        return int(bool(problems))
+        n = 0
+        for n, r in enumerate(found.where("why is not null").toLocalIterator(), start=1):  # one JSON line each, however many
+            print(json.dumps(r.asDict(), ensure_ascii=False))
+        return int(n > 0)
     docs = _documents(spark, args.path, "doc" if getattr(args, "original", None) else None)
     if args.command == "renumber":
         out = repair.renumber_documents(docs, repair.new_displays(docs, _documents(spark, args.original, "doc")) if args.original else None, args.prefix)
@@ -75,9 +89,12 @@ def main(argv: list[str] | None = None) -> int:
             return 2
         out = repair.relink_documents(docs, spark.createDataFrame([tuple(p.split("=", 1)) for p in args.pairs], "old string, new string"))
     out = out.cache()
-    print(out.agg({"changed": "sum"}).first()[0] or 0)
-    if args.out:
-        save_documents(out, args.out)
+    try:
+        print(out.agg({"changed": "sum"}).first()[0] or 0)
+        if args.out and not args.dry_run:
+            save_documents(out, args.out)
+    finally:
+        out.unpersist()
     return 0
 
 

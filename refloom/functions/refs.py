@@ -17,7 +17,7 @@ _U = "(?U)"
 
 
 def is_numbered(text) -> Column:
-    return F.coalesce(col(text), F.lit("")).rlike(NUMBERED)
+    return F.coalesce(col(text), F.lit("")).rlike(_U + NUMBERED)
 
 
 def year_in(c) -> Column:
@@ -32,7 +32,7 @@ def parse_reference(text) -> Column:
     Chinese name, and holds no year. The title follows, and the journal is the last clause that is neither a
     DOI or PMID nor starts with a year.
     """
-    return let(strip(text), lambda raw: F.when(F.coalesce(raw, F.lit("")) != "", let(F.regexp_replace(raw, LEADING_NUMBER, ""), lambda rest: _parsed(raw, rest))))
+    return let(strip(text), lambda raw: F.when(F.coalesce(raw, F.lit("")) != "", let(F.regexp_replace(raw, _U + LEADING_NUMBER, ""), lambda rest: _parsed(raw, rest))))
 
 
 def _names_authors(first: Column) -> Column:
@@ -44,8 +44,8 @@ def _names_authors(first: Column) -> Column:
 
 
 def _author(part: Column) -> Column:
-    given = F.regexp_extract(part, SURNAME_INITIALS, 2)
-    family = F.when(given != "", strip(F.regexp_extract(part, SURNAME_INITIALS, 1))).otherwise(part)
+    given = F.regexp_extract(part, _U + SURNAME_INITIALS, 2)
+    family = F.when(given != "", strip(F.regexp_extract(part, _U + SURNAME_INITIALS, 1))).otherwise(part)
     return F.struct(family.alias("family"), F.regexp_replace(strip(given), "[.,]+$", "").alias("given"))
 
 
@@ -71,7 +71,7 @@ def _split_up(clauses: Column) -> Column:
 
 
 def _parsed(raw: Column, rest: Column) -> Column:
-    clauses = F.filter(F.split(rest, r"\.\s+"), lambda x: strip(x) != "")
+    clauses = F.filter(F.split(rest, _U + r"\.\s+"), lambda x: strip(x) != "")
 
     def record(s: Column) -> Column:
         return let(year_in(rest), lambda year: dated(s, year))

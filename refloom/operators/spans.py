@@ -25,7 +25,7 @@ _GROUP = re.compile(T.PAREN_GROUP)
 _DOI_PART = re.compile(T.DOI_PREFIX + "(" + T.DOI_TOKEN + r")[.;]?$", re.IGNORECASE)
 _WHOLE_DOI = re.compile(T.DOI_PREFIX + "(" + T.DOI_TOKEN + ")", re.IGNORECASE)
 _LOOKS_DOI = re.compile(r"\s*(?:doi[:：]\s*)?10\.", re.IGNORECASE)
-STANDALONE = r"(?i)^\s*[（(]?\s*(" + T.DOI_PREFIX + T.DOI_TOKEN + r")\s*[）)]?\s*[.;]?\s*$"
+STANDALONE = r"(?i)(?U)^\s*[（(]?\s*(" + T.DOI_PREFIX + T.DOI_TOKEN + r")\s*[）)]?\s*[.;]?\s*$"
 
 _PART = "struct<no:int,text:string,year:string,doi:string,looks_doi:boolean>"
 CANDIDATES = f"array<struct<kind:string,start:int,end:int,display:string,inner:string,parts:array<{_PART}>>>"
@@ -107,7 +107,7 @@ def extract_loose_dois(texts: DataFrame) -> DataFrame:
 def residual_placeholders(texts: DataFrame) -> DataFrame:
     """At most one row for each text: doi if a labelled DOI is left, else bare with the first bare DOI."""
     bare = r"(?i)(?U)(?<![\w/])(" + T.DOI_TOKEN + ")"
-    labelled = F.col("text").rlike(r"(?i)doi[:：]?\s*10\.\d{4,9}/")
+    labelled = F.col("text").rlike(r"(?i)(?U)doi[:：]?\s*10\.\d{4,9}/")
     kind = F.when(labelled, "doi").when(F.col("text").rlike(bare), "bare")
     return (
         texts.where(F.col("text").contains("10.")).withColumn("kind", kind).where("kind is not null")

@@ -60,26 +60,70 @@ def imported(ingest: Ingest, created: DataFrame, prefix: str) -> DataFrame:
 
 
 def create_items(rows: DataFrame, make_call: Callable[[], Callable]) -> DataFrame:
-    """Write the rows of creations() through a connector, on one partition: (ref_key, item_key), null where the library gave no key."""
+    """Write the rows of creations() through a connector, on one partition: (ref_key, item_key), null where the library gave no key.
+
+    Right before a record with a DOI is written the library is asked for that DOI, so a task that runs again after
+    a failure finds what it has created and creates nothing twice.
+    """
     import json
 
     import pandas as pd
 
-    from refloom.sources.rpc import new_item_key
+    from refloom.functions.text import plain_doi
+    from refloom.sources.rpc import WRITE, items_with_doi, new_item_key
 
     def run(batches):
         call = make_call()
         for b in batches:
             keys = []
             for r in b.itertuples():
-                fields = {"action": "create", "itemType": r.item_type, "fields": json.loads(r.fields)}
-                keys.append(new_item_key(call("write_item", fields | ({"creators": json.loads(r.creators)} if r.creators else {}))))
+                fields = json.loads(r.fields)
+                there = items_with_doi(call, fields["DOI"], lambda a, b: plain_doi(a) == plain_doi(b)) if fields.get("DOI") else []
+                record = {"action": "create", "itemType": r.item_type, "fields": fields} | ({"creators": json.loads(r.creators)} if r.creators else {})
+                keys.append(there[0]["key"] if there else new_item_key(call(WRITE, record)))
             yield pd.DataFrame({"ref_key": b["ref_key"], "item_key": keys})
 
     flat = rows.select("ref_key", "item_type", F.to_json("fields").alias("fields"), F.to_json("creators").alias("creators"))
     return flat.coalesce(1).mapInPandas(run, "ref_key string, item_key string")
 
 
+def add_to_collection(created: DataFrame, collection: str, make_call: Callable[[], Callable]) -> DataFrame:
+    """Put created items (item_key) into a collection, some hundred in a call, on one partition; (item_key) of those put there. Doing it again changes nothing."""
+    import pandas as pd
+
+    from refloom.sources.rpc import add_to_collection as add
+
+    def run(batches):
+        call = make_call()
+        for b in batches:
+            yield pd.DataFrame({"item_key": add(call, collection, b["item_key"])})
+
+    return created.where("item_key is not null").select("item_key").distinct().coalesce(1).mapInPandas(run, "item_key string")
+
+
+def collection_items(spark, collections: list[str], make_call: Callable[[], Callable]) -> DataFrame:
+    """(key, ord, title, doi, error) of the items in collections, read through a connector on one partition; what cannot be read has an error."""
+    import pandas as pd
+
+    from refloom.sources.rpc import RpcError, collection_keys, item_details
+
+    def run(batches):
+        call = make_call()
+        for b in batches:
+            for collection in b["collection"]:
+                rows = []
+                for key in collection_keys(call, collection):
+                    try:
+                        found = item_details(call, key)
+                        rows.append((key, found.get("title"), found.get("DOI"), None))
+                    except RpcError as e:
+                        rows.append((key, None, None, str(e)))
+                yield pd.DataFrame({"key": [r[0] for r in rows], "ord": range(len(rows)), "title": [r[1] for r in rows], "doi": [r[2] for r in rows], "error": [r[3] for r in rows]})
+
+    wanted = spark.createDataFrame([(c,) for c in collections], "collection string")
+    return wanted.coalesce(1).mapInPandas(run, "key string, ord long, title string, doi string, error string")
+
+
 def document_index(fields: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """library_index() of the items that a document's citations name; keys without an item are failures."""
     keys = document_keys(fields, ["doc_id"]).select(F.col("item_key").alias("key")).distinct()

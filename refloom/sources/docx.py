@@ -1,7 +1,8 @@
 """Word documents as a source and a sink.
 
-A document is a row (doc_id, content). One parse of its main part gives fields, paragraphs and table cells as
-nested columns; field stacks run on across paragraphs, and a text box is a story of its own.
+A document is a row (doc_id, content). Its main part is read once, in one pass without recursion, into a table
+of tokens in document order; fields, their depth, what they protect and what is malformed are derived from that
+table. Fields run on across paragraphs, and a text box is a story of its own.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ import os
 import re
 import tempfile
 import zipfile
+from collections import defaultdict
 from dataclasses import dataclass, field
+from typing import NamedTuple
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -30,119 +33,145 @@ def tag(name: str) -> str:
     return f"{{{NS}}}{name}"
 
 
-@dataclass
+_KINDS = {tag("fldSimple"): "simple", tag("fldChar"): "mark", tag("instrText"): "instruction", tag("t"): "text"}
+_PARAGRAPH, _STORY, _SIMPLE = tag("p"), tag("txbxContent"), tag("fldSimple")
+_SCOPES = {_PARAGRAPH, _STORY, _SIMPLE}
+
+
+class Token(NamedTuple):
+    """An element, or the close of a simple field, with its story and the paragraph it lies in (-1: none)."""
+
+    kind: str  # begin, separate, end, unknown (marks); simple, close; instruction, text; other
+    story: int
+    para: int
+    element: ET.Element
+
+
+def tokens_of(root) -> tuple[list[Token], list]:
+    """(tokens, paragraphs) of a tree, in document order."""
+    tokens, paragraphs, stories, paras, n_stories = [], [], [0], [-1], 1
+    todo = [(root, False)]
+    while todo:
+        element, leaving = todo.pop()
+        if leaving:
+            if element.tag == _SIMPLE:
+                tokens.append(Token("close", stories[-1], paras[-1], element))
+            elif element.tag == _PARAGRAPH:
+                paras.pop()
+            else:
+                stories.pop()
+            continue
+        if element.tag == _STORY:
+            stories.append(n_stories)
+            n_stories += 1
+        elif element.tag == _PARAGRAPH:
+            paras.append(len(paragraphs))
+            paragraphs.append(element)
+        kind = _KINDS.get(element.tag, "other")
+        if kind == "mark":
+            marked = element.get(tag("fldCharType"))
+            kind = marked if marked in ("begin", "separate", "end") else "unknown"
+        tokens.append(Token(kind, stories[-1], paras[-1], element))
+        if element.tag in _SCOPES:
+            todo.append((element, True))
+        todo += [(child, False) for child in reversed(element)]
+    return tokens, paragraphs
+
+
+@dataclass(eq=False)
 class Field:
-    """A field in the order of its beginning; end is the number of the event that closed it, or None."""
+    """A field in the order of its beginning; opener is the element that begins it."""
 
     number: int
     para: int
-    around: list  # the fields it lies in, outermost first
-    simple: bool
+    opener: ET.Element
+    parent: Field | None
+    shows: bool  # has its result begun
     instruction: list = field(default_factory=list)  # XML elements that hold it
     display: list[str] = field(default_factory=list)
-    shows: bool = False
     closed: bool = False
 
+    @property
+    def simple(self) -> bool:
+        return self.opener.tag == _SIMPLE
+
+    @property
+    def around(self) -> list[Field]:
+        """The fields it lies in, outermost first."""
+        return [*self.parent.around, self.parent] if self.parent else []
+
     @property
     def text(self) -> str:
-        return "".join(e.get(tag("instr"), "") if e.tag == tag("fldSimple") else e.text or "" for e in self.instruction)
+        return "".join(e.get(tag("instr"), "") if e.tag == _SIMPLE else e.text or "" for e in self.instruction)
 
 
 @dataclass
 class Parsed:
-    """What one walk over a document's tree finds."""
+    """What a document's tokens tell."""
 
+    paragraphs: list
     fields: list[Field] = field(default_factory=list)
-    paragraphs: list = field(default_factory=list)
-    outside: list[list[str]] = field(default_factory=list)
+    outside: dict[int, list[str]] = field(default_factory=lambda: defaultdict(list))
     protected: set[int] = field(default_factory=set)  # ids of elements that are part of a field
-    begins: int = 0
-    ends: int = 0
+    marks: dict[str, int] = field(default_factory=lambda: defaultdict(int))
     errors: int = 0
 
+    @property
+    def begins(self) -> int:
+        return self.marks["begin"]
 
-class _Walk:
-    """Keeps the open fields of the current story and the open paragraphs while a tree is walked."""
-
-    def __init__(self):
-        self.out, self.open, self.stories, self.paras = Parsed(), [], [], []
-
-    def begin(self, element, simple: bool) -> None:
-        new = Field(len(self.out.fields), self.paras[-1] if self.paras else -1, list(self.open), simple, shows=simple)
-        if simple:
-            new.instruction.append(element)
-        else:
-            self.out.begins += 1
-        self.out.fields.append(new)
-        self.open.append(new)
-
-    def character(self, kind: str | None, element) -> None:
-        """A begin, separate or end marker; what does not fit the open field is an error."""
-        if kind == "begin":
-            self.begin(element, simple=False)
-        elif kind == "separate" and self.open and not self.open[-1].shows:
-            self.open[-1].shows = True
-        elif kind == "end":
-            self.out.ends += 1
-            if self.open and not self.open[-1].simple:
-                self.open.pop().closed = True
-            else:
-                self.out.errors += 1
-        else:
-            self.out.errors += 1
-
-    def text(self, value: str) -> None:
-        """Visible text: of the paragraph outside fields, else of each open field up to one still in its instruction."""
-        if not self.open:
-            if self.paras:
-                self.out.outside[self.paras[-1]].append(value)
-            return
-        for f in reversed(self.open):
-            if not f.shows:
-                return
-            f.display.append(value)
-
-    def visit(self, element) -> None:
-        name = element.tag.rpartition("}")[2] if isinstance(element.tag, str) and element.tag.startswith(f"{{{NS}}}") else None
-        story, own = name == "txbxContent", None
-        if story:
-            self.stories.append(self.open)
-            self.open = []
-        if name == "p":
-            self.paras.append(len(self.out.paragraphs))
-            self.out.paragraphs.append(element)
-            self.out.outside.append([])
-        if self.open or name in ("fldChar", "fldSimple"):
-            self.out.protected.add(id(element))
-        if name == "fldSimple":
-            self.begin(element, simple=True)
-            own = self.open[-1]
-        elif name == "fldChar":
-            self.character(element.get(tag("fldCharType")), element)
-        elif name == "instrText" and self.open and not self.open[-1].shows:
-            self.open[-1].instruction.append(element)
-        elif name == "t":
-            self.text(element.text or "")
-        for child in element:
-            self.visit(child)
-        if own is not None:
-            while self.open and self.open[-1] is not own:
-                self.out.errors += 1
-                self.open.pop()
-            if self.open:
-                self.open.pop().closed = True
-        if name == "p":
-            self.paras.pop()
-        if story:
-            self.out.errors += len(self.open)
-            self.open = self.stories.pop()
+    @property
+    def ends(self) -> int:
+        return self.marks["end"]
+
+
+def _story_fields(tokens: list[tuple[int, Token]], out: Parsed) -> list[tuple[int, Field]]:
+    """The fields of one story, each with its token's place. inner is the innermost open field; its parents are the others."""
+    found: list[tuple[int, Field]] = []
+    inner: Field | None = None
+    for place, (kind, _, para, element) in tokens:
+        out.marks[kind] += 1
+        if kind == "close":
+            while inner and inner.opener is not element:
+                out.errors, inner = out.errors + 1, inner.parent
+            if inner:
+                inner.closed, inner = True, inner.parent
+            continue
+        if inner or kind in ("simple", "begin", "separate", "end", "unknown"):
+            out.protected.add(id(element))
+        if kind in ("simple", "begin"):
+            inner = Field(0, para, element, inner, kind == "simple", [element] if kind == "simple" else [])
+            found.append((place, inner))
+        elif kind == "end" and inner and not inner.simple:
+            inner.closed, inner = True, inner.parent
+        elif kind == "separate" and inner and not inner.shows:
+            inner.shows = True
+        elif kind in ("end", "separate", "unknown"):
+            out.errors += 1
+        elif kind == "instruction" and inner and not inner.shows:
+            inner.instruction.append(element)
+        elif kind == "text" and inner:
+            reader = inner  # a result is seen in all fields around it, up to one that is still being told what it is
+            while reader and reader.shows:
+                reader.display.append(element.text or "")
+                reader = reader.parent
+        elif kind == "text" and para >= 0:
+            out.outside[para].append(element.text or "")
+    while inner:
+        out.errors, inner = out.errors + 1, inner.parent
+    return found
 
 
 def parse_tree(root) -> Parsed:
-    walk = _Walk()
-    walk.visit(root)
-    walk.out.errors += len(walk.open)
-    return walk.out
+    tokens, paragraphs = tokens_of(root)
+    out, stories = Parsed(paragraphs), defaultdict(list)
+    for place, token in enumerate(tokens):
+        stories[token.story].append((place, token))
+    found = [f for story in stories.values() for f in _story_fields(story, out)]
+    out.fields = [f for _, f in sorted(found, key=lambda x: x[0])]
+    for number, f in enumerate(out.fields):
+        f.number = number
+    return out
 
 
 def main_part(content: bytes):
@@ -163,7 +192,7 @@ def describe(content: bytes) -> dict:
     body_no = {id(p): i for i, p in enumerate(body.findall(tag("p")))}
     in_cell = {id(p) for c in body.iter(tag("tc")) for p in c.iter(tag("p"))}
     number = {id(p): i for i, p in enumerate(parsed.paragraphs)}
-    outside = ["".join(x) for x in parsed.outside]
+    outside = ["".join(parsed.outside[i]) for i in range(len(parsed.paragraphs))]
     tables = body.findall(tag("tbl"))
     cells = [
         {"table_no": t, "row": r, "col": c, "text": "".join(outside[number[id(p)]] for p in cell.iter(tag("p"))), "has_field": any(id(e) in parsed.protected for e in cell.iter())}
@@ -222,6 +251,7 @@ def with_main_part(content: bytes, root) -> bytes:
         xml = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + xml[:at] + missing + xml[at:]
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+            new.comment = z.comment
             for item in z.infolist():
                 new.writestr(item, xml.encode("utf-8") if item.filename == MAIN_PART else z.read(item.filename))
         return out.getvalue()
@@ -240,10 +270,16 @@ def save_document(content: bytes, path: str) -> None:
 
 
 def save_documents(docs: DataFrame, folder: str) -> None:
-    """Write docs (path, content) into a folder that all executors share, one file each, under the paths' last names."""
+    """Write docs (path, content) into a folder that all executors share, one file each, under their paths below the folder that all of them lie in."""
+    ends = docs.agg(F.min("path").alias("low"), F.max("path").alias("high")).first()
+    if ends.low is None:
+        return
+    base = os.path.dirname(os.path.commonprefix([ends.low, ends.high]))
 
     def write(rows) -> None:
         for row in rows:
-            save_document(bytes(row.content), os.path.join(folder, os.path.basename(row.path)))
+            path = os.path.join(folder, row.path[len(base) :].lstrip("/"))
+            os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+            save_document(bytes(row.content), path)
 
     docs.select("path", "content").foreachPartition(write)

@@ -100,3 +100,18 @@ def test_conversion_twice_changes_nothing(converted):
 def test_scan(converted):
     row = C.scan(converted[2].select("doc_id", "path", "content")).first()
     assert (row.n_citation, row.n_bibliography, row.n_preferences, row.n_duplicated, row.n_nested, row.max_numeric) == (4, 1, 1, 0, 0, 10)
+
+
+def test_deep_nesting_and_equal_names(spark, tmp_path):
+    from xml.etree import ElementTree as ET
+
+    inner = root = ET.Element(D.tag("body"))
+    for _ in range(5000):
+        inner = ET.SubElement(inner, D.tag("sdt"))
+    p = ET.SubElement(inner, D.tag("p"))
+    ET.SubElement(p, D.tag("t")).text = "deep"
+    parsed = D.parse_tree(root)
+    assert parsed.outside[0] == ["deep"] and parsed.errors == 0
+    rows = [(f"file:/x/a/n.docx", bytearray(b"1")), (f"file:/x/b/n.docx", bytearray(b"2"))]
+    D.save_documents(spark.createDataFrame(rows, "path string, content binary"), str(tmp_path))
+    assert (tmp_path / "a/n.docx").read_bytes() == b"1" and (tmp_path / "b/n.docx").read_bytes() == b"2"

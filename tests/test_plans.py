@@ -90,7 +90,22 @@ def test_ingest(spark):
     assert {r.ref_key: (r.outcome, r.target_key) for r in run.plan.collect()} == {"smith2007": ("precheck_reused", "K1"), "lee2020": ("create", None)}
     stats = run.statistics.first()
     assert (stats.total, stats.resolved, stats.low_confidence, stats.dups, stats.imported, stats.skipped, stats.warnings) == (3, 2, 1, 1, 2, 1, 0)
-    created = ingest.create_items(ingest.creations(run), lambda: lambda tool, args: {"data": {"key": "NEWKEY01"}} if args["itemType"] == "journalArticle" else {})
+
+
+    def library(there):
+        def call(tool, args):
+            if tool == "search_library":
+                return {"results": [{"key": "THERE001"}] if there else []}
+            if tool == "get_item_details":
+                return {"key": "THERE001", "DOI": "10.2/B"}
+            assert tool == "write_item" and not there
+            return {"data": {"key": "NEWKEY01"}} if args["itemType"] == "journalArticle" else {}
+
+        return call
+
+    # a task that runs again finds what it has created
+    assert [r.item_key for r in ingest.create_items(ingest.creations(run), lambda: library(True)).collect()] == ["THERE001"]
+    created = ingest.create_items(ingest.creations(run), lambda: library(False))
     mapping = {r.ref_key: (r.itemKey, r.uri, r.first_author, r.year) for r in ingest.imported(run, created, "http://l/items/").collect()}
     assert mapping == {"smith2007": ("K1", "http://l/items/K1", "Smith", "2007"), "lee2020": ("NEWKEY01", "http://l/items/NEWKEY01", "Lee", "2020")}
 
