@@ -146,18 +146,13 @@ def author_position(part, surname) -> Column:
     return F.coalesce(_position(p, s), F.when(s.contains(" "), _position(p, F.element_at(F.split(s, r"\s+"), -1))))
 
 
-#: Mapping rows up to which they are broadcast, and from which parts are matched on letter pairs beside the year.
-MOST_BROADCAST, LEAST_BLOCKED = 1_000_000, 2_000
-
-
-def _sized(df: DataFrame) -> tuple[DataFrame, int]:
-    """A mapping, to be broadcast if it has at most MOST_BROADCAST rows of a few short columns, and how many it has (one more at most)."""
-    n = df.limit(MOST_BROADCAST + 1).count()
-    return (F.broadcast(df) if n <= MOST_BROADCAST else df), n
+#: Mapping rows up to which they are broadcast.
+MOST_BROADCAST = 1_000_000
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return _sized(df)[0]
+    """A mapping, to be broadcast if it has at most MOST_BROADCAST rows of a few short columns."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
 def _folded(text: Column) -> Column:
@@ -181,15 +176,12 @@ def _pair_of(surname: Column) -> Column:
 def with_author_hits(parts: DataFrame, mapping: DataFrame) -> DataFrame:
     """parts (text, year, …) once for each mapping row that may be meant, with surname and hit_key; once with nulls where none is.
 
-    A row is met through its year; if there are many rows, also through the last two letters of its surname, which
-    must stand in the part, or the only one, which must stand where a surname may end. No row that would match is missed.
+    A row is met through its year and the last two letters of its surname, which must stand in the part, or the only
+    one, which must stand where a surname may end. No row that would match is missed.
     """
-    index, n = _sized(author_index(mapping).withColumnRenamed("ref_key", "hit_key"))
-    if n < LEAST_BLOCKED:
-        return parts.join(index, "year", "left")
-    blocked = index.withColumn("pair", _pair_of(F.col("surname")))
+    index = author_index(mapping).withColumnRenamed("ref_key", "hit_key").withColumn("pair", _pair_of(F.col("surname")))
     rows = parts.withColumn("pair", F.explode_outer(F.when(F.col("year").isNotNull(), T.let(_folded(F.col("text")), _pairs_in))))
-    return rows.join(F.broadcast(blocked) if n <= MOST_BROADCAST else blocked, ["year", "pair"], "left").drop("pair")
+    return rows.join(_small(index), ["year", "pair"], "left").drop("pair")
 
 
 SPAN = "struct<start:int,end:int,display:string,keys:array<string>>"
