@@ -180,8 +180,9 @@ def with_author_hits(parts: DataFrame, mapping: DataFrame) -> DataFrame:
     one, which must stand where a surname may end. No row that would match is missed.
     """
     index = author_index(mapping).withColumnRenamed("ref_key", "hit_key").withColumn("pair", _pair_of(F.col("surname")))
-    rows = parts.withColumn("pair", F.explode_outer(F.when(F.col("year").isNotNull(), T.let(_folded(F.col("text")), _pairs_in))))
-    return rows.join(_small(index), ["year", "pair"], "left").drop("pair")
+    pairs = F.when(F.col("year").isNotNull(), T.let(_folded(F.col("text")), _pairs_in))
+    rows = parts.select("*", F.posexplode_outer(pairs).alias("_no", "pair")).join(_small(index), ["year", "pair"], "left")
+    return rows.where(F.col("hit_key").isNotNull() | (F.coalesce("_no", F.lit(0)) == 0)).drop("_no", "pair")  # of pairs that meet nothing one stands for the part
 
 
 SPAN = "struct<start:int,end:int,display:string,keys:array<string>>"
