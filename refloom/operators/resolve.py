@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,12 +14,16 @@ from refloom.functions import text as T
 KEPT_CANDIDATES = 5
 
 
-def scored(refs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """candidates (ref_key, ord, provider, csl) of refs (ref_key, parsed) with score and matched; a candidate with the reference's own DOI scores 1."""
-    rows = candidates.join(refs, "ref_key").withColumn("c", M.confidence("parsed", "csl"))
+def _score() -> Column:
+    """A struct of score and matched of a candidate (provider, csl) beside its reference (parsed); one with the reference's own DOI scores 1."""
     same = (F.coalesce("parsed.doi", F.lit("")) != "") & (T.normalize_doi("parsed.doi") == T.normalize_doi("csl.DOI"))
     by_doi = F.coalesce(same & (F.col("provider") == "doi"), F.lit(False))
-    return rows.select("ref_key", "ord", "provider", "csl", F.when(by_doi, 1.0).otherwise(F.col("c.score")).alias("score"), F.when(by_doi, F.array_append("c.matched", F.lit("doi"))).otherwise(F.col("c.matched")).alias("matched"))
+    return T.let(M.confidence("parsed", "csl"), lambda c: F.when(by_doi, F.struct(F.lit(1.0).alias("score"), F.array_append(c["matched"], F.lit("doi")).alias("matched"))).otherwise(c))
+
+
+def scored(refs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """candidates (ref_key, ord, provider, csl) of refs (ref_key, parsed) with score and matched."""
+    return candidates.join(refs, "ref_key").withColumn("s", _score()).select("ref_key", "ord", "provider", "csl", "s.score", "s.matched")
 
 
 def best_of(candidates: DataFrame) -> DataFrame:
@@ -34,18 +38,18 @@ def resolve_staged(refs: DataFrame, stages: list[DataFrame]) -> DataFrame:
     """(ref_key, provider, csl, confidence, level, candidates, resolve_error).
 
     stages: candidates (ref_key, provider, csl, rank) of one provider each; a stage is asked only for references
-    whose best so far is below the threshold for high confidence.
+    whose best so far is below the threshold for high confidence. Candidates meet their references once, and the
+    stages follow one another over that partitioning; none is scored for a reference that a stage before has settled.
     """
-    found: DataFrame | None = None
-    open_refs = refs
-    for k, stage in enumerate(stages):
-        mine = stage.join(open_refs.select("ref_key"), "ref_key", "left_semi").withColumn("ord", F.col("rank") + k * 1000)
-        now = scored(open_refs, mine.drop("rank"))
-        found = now if found is None else found.unionByName(now)
-        done = found.groupBy("ref_key").agg(F.max("score").alias("s")).where(F.col("s") >= T.HIGH_CONFIDENCE)
-        open_refs = refs.join(done.select("ref_key"), "ref_key", "left_anti")
-    best = best_of(found)
-    out = refs.select("ref_key").join(best, "ref_key", "left")
+    of = W.partitionBy("ref_key")
+    every = reduce(DataFrame.unionByName, (s.select("ref_key", "provider", "csl", F.lit(k).alias("stage"), (F.col("rank") + k * 1000).alias("ord")) for k, s in enumerate(stages)))
+    rows = every.join(refs.select("ref_key", "parsed"), "ref_key").withColumn("s", F.when(F.col("stage") == 0, _score()))
+    for k in range(1, len(stages)):
+        rows = rows.withColumn("_top", F.max("s.score").over(of))
+        asked = (F.col("stage") == k) & (F.coalesce("_top", F.lit(0.0)) < T.HIGH_CONFIDENCE)
+        rows = rows.withColumn("s", F.coalesce("s", F.when(asked, _score())))
+    found = rows.where("s is not null").select("ref_key", "ord", "provider", "csl", "s.score", "s.matched")
+    out = refs.select("ref_key").join(best_of(found), "ref_key", "left")
     score = F.coalesce("best.score", F.lit(0.0))
     return out.select("ref_key", "best.provider", "best.csl", score.alias("confidence"), T.confidence_level(score).alias("level"), "candidates", F.col("best").isNull().alias("resolve_error"))
 
