@@ -134,12 +134,13 @@ def _folded(c: Column) -> Column:
         if char.lower() == char:
             apart = F.replace(apart, F.lit(char), F.lit(plain))
     chars = "".join(x for x in _LIGATURES if x.lower() == x)
-    return F.translate(F.when(text.rlike(f"[{chars}]"), apart).otherwise(text), _MARKED, _PLAIN)
+    marked = F.translate(F.when(text.rlike(f"[{chars}]"), apart).otherwise(text), _MARKED, _PLAIN)
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(marked)  # text of ASCII alone holds no marks
 
 
 def normalize_title(c) -> Column:
     """Lower case with marks folded, then only a-z, 0-9 and CJK ideographs. As normalize_title_exact(), but for symbols that stand for several characters, such as units and Roman numerals."""
-    return F.regexp_replace(_folded(col(c)), _DROPPED, "")
+    return F.regexp_replace(_folded(col(c)), _DROPPED + "+", "")
 
 
 @arrow("string")

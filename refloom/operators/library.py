@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,49 +58,73 @@ def minimizers(titles: pd.Series) -> pd.Series:
     return titles.map(pick)
 
 
-def contained_pairs(refs: DataFrame, titles: DataFrame) -> DataFrame:
-    """(ref, ref_norm, item, item_norm) where one normalised title contains the other; (id, norm) on either side.
+#: Lengths of the beginnings that titles shorter than LEAST are met by: each has the longest that fits.
+BEGINNINGS = (1, 2, 4, 8, 16)
+
+
+def _grams(titles: DataFrame) -> DataFrame:
+    """(id, g), each once; what counts, asks and is asked reads the one exchange this ends in."""
+    return titles.select("id", F.explode(minimizers("norm")).alias("g")).distinct()
 
-    Titles of LEAST characters and more meet on a shared minimiser. For shorter ones, whose lengths are at most
-    LEAST - 1 different numbers, the other side gives its substrings of those lengths.
-    """
 
-    def named(df, name):
-        return df.select(F.col("id").alias(name), F.col("norm").alias(f"{name}_norm")).where("length(norm) > 0")
+def _may_hold(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer) ids, by grams (id, g) of either: a text can hold only texts whose grams it has all, so each is met by its rarest one."""
+    uses = outer.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    rarest = inner.join(uses, "g", "left").groupBy("id").agg(F.min_by("g", n).alias("g"), F.min(n).alias("n")).where("n > 0")
+    return rarest.select(F.col("id").alias("inner"), "g").join(outer.withColumnRenamed("id", "outer"), "g").select("inner", "outer")
 
-    a, b = named(refs, "ref"), named(titles, "item")
-    grams_a, grams_b = (x.withColumn("g", F.explode(minimizers(F.col(f"{n}_norm")))) for x, n in ((a, "ref"), (b, "item")))
-    long = grams_a.join(grams_b, "g").where(F.col("ref_norm").contains(F.col("item_norm")) | F.col("item_norm").contains(F.col("ref_norm"))).drop("g")
 
-    def short_in(small, n, big, m):
-        small = small.where(F.length(f"{n}_norm") < LEAST)
-        lengths = [r[0] for r in small.select(F.length(f"{n}_norm")).distinct().collect()]  # fewer than LEAST numbers
-        if not lengths:
-            return None
-        norm = F.col(f"{m}_norm")
-        parts = big.withColumn("_n", F.explode(F.array(*map(F.lit, sorted(lengths))))).where(F.length(norm) >= F.col("_n"))
-        parts = parts.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(norm) - F.col("_n") + 1))).withColumn("_part", F.substring(norm, F.col("_at"), F.col("_n"))).drop("_n", "_at").distinct()
-        return parts.join(small, F.col("_part") == F.col(f"{n}_norm")).drop("_part")
+def _short_may_be_in(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer) ids, by the beginnings of inner's titles shorter than LEAST; titles (id, norm)."""
+    size = F.greatest(*(F.when(F.length("norm") >= n, n) for n in BEGINNINGS))
+    short = inner.where(F.length("norm") < LEAST).select(F.col("id").alias("inner"), size.alias("n"), "norm").withColumn("part", F.expr("left(norm, n)")).drop("norm")
+    sizes = F.broadcast(short.agg(F.collect_set("n").alias("sizes")))  # one row of at most len(BEGINNINGS) numbers
+    letters = outer.crossJoin(sizes).where(F.size("sizes") > 0).select(F.col("id").alias("outer"), F.split("norm", "").alias("c"), F.explode("sizes").alias("n")).where(F.size("c") >= F.col("n"))
+    places = F.sequence(F.lit(1), F.size("c") - F.col("n") + 1)
+    parts = letters.select("outer", "n", F.explode(F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice("c", i, F.col("n")), "")))).alias("part"))
+    return short.join(parts, ["n", "part"]).select("inner", "outer")
 
-    out = long
-    for more in (short_in(a, "ref", b, "item"), short_in(b, "item", a, "ref")):
-        if more is not None:
-            out = out.unionByName(more)
-    return out.select("ref", "ref_norm", "item", "item_norm").distinct()
+
+def contained_pairs(refs: DataFrame, titles: DataFrame) -> DataFrame:
+    """(ref, item) ids where one normalised title contains the other; (id, norm) on either side, an id always with the same norm.
+
+    Titles of LEAST characters and more are met through their rarest minimiser, shorter ones through their
+    beginning. Ids alone are shuffled for that; each text follows once, to the pairs left.
+    """
+    a, b = (x.select("id", "norm").where("length(norm) > 0") for x in (refs, titles))
+    grams_a, grams_b = _grams(a), _grams(b)
+    in_item = [x.select(F.col("inner").alias("ref"), F.col("outer").alias("item")) for x in (_may_hold(grams_a, grams_b), _short_may_be_in(a, b))]
+    in_ref = [x.select(F.col("outer").alias("ref"), F.col("inner").alias("item")) for x in (_may_hold(grams_b, grams_a), _short_may_be_in(b, a))]
+    met = reduce(DataFrame.unionByName, in_item + in_ref).distinct()
+    for texts, name in ((a, "ref"), (b, "item")):
+        texts = texts.withColumnsRenamed({"id": name, "norm": f"{name}_norm"})
+        met = met.join(texts.dropDuplicates([name]), name)  # parted by id for both
+    return met.where(F.col("ref_norm").contains(F.col("item_norm")) | F.col("item_norm").contains(F.col("ref_norm"))).select("ref", "item")
 
 
 def dedup_check(records: DataFrame, items: DataFrame) -> DataFrame:
     """(ref_key, status, item_key): exact by title or else by DOI, probable if one title contains the other, else none.
 
     records: (ref_key, title, doi); items: (key, ord, title, doi). The first exact match wins; of probable ones the last.
+    Equal titles are one, named by 128 bits of their digest, before anything is paired.
     """
-    refs = records.select("ref_key", T.normalize_title("title").alias("norm"), T.normalize_doi("doi").alias("doi_norm"))
-    lib = items.select("key", "ord", T.normalize_title("title").alias("norm"), T.normalize_doi("doi").alias("doi_norm"))
-    by_title = refs.where("norm != ''").join(lib.where("norm != ''"), "norm").groupBy("ref_key").agg(F.min_by("key", "ord").alias("by_title"))
-    by_doi = refs.where("doi_norm != ''").join(lib.where("doi_norm != ''"), "doi_norm").groupBy("ref_key").agg(F.min_by("key", "ord").alias("by_doi"))
-    pairs = contained_pairs(refs.select(F.col("ref_key").alias("id"), "norm"), lib.select(F.struct("key", "ord").alias("id"), "norm")).where("ref_norm != item_norm")
-    probable = pairs.groupBy(F.col("ref").alias("ref_key")).agg(F.max_by(F.col("item.key"), F.col("item.ord")).alias("probable"))
-    out = refs.join(by_title, "ref_key", "left").join(by_doi, "ref_key", "left").join(probable, "ref_key", "left")
+
+    def named(df, *columns):
+        once = F.inline(F.array(F.struct(T.normalize_title("title").alias("norm"))))  # filters on a generated column do not normalise again
+        rows = df.select(*columns, T.normalize_doi("doi").alias("doi_norm"), once)
+        return rows.withColumn("id", F.when(F.col("norm") != "", F.substring(F.unhex(F.sha2("norm", 256)), 1, 16)))
+
+    refs, lib = named(records, "ref_key"), named(items, "key", "ord")
+    titles = lib.where("norm != ''").groupBy("id").agg(F.min_by("key", "ord").alias("first"), F.min("ord").alias("first_ord"), F.max_by("key", "ord").alias("last"), F.max("ord").alias("last_ord"))
+    dois = lib.where("doi_norm != ''").groupBy("doi_norm").agg(F.min_by("key", "ord").alias("key"), F.min("ord").alias("ord"))
+    asked = refs.where("norm != ''").select("ref_key", "id")
+    by_title = asked.join(titles, "id").groupBy("ref_key").agg(F.min_by("first", "first_ord").alias("by_title"))
+    by_doi = refs.where("doi_norm != ''").select("ref_key", "doi_norm").join(dois, "doi_norm").groupBy("ref_key").agg(F.min_by("key", "ord").alias("by_doi"))
+    pairs = contained_pairs(refs.where("norm != ''").select("id", "norm"), lib.where("norm != ''").select("id", "norm")).where("ref != item")
+    last = pairs.join(titles, F.col("item") == F.col("id")).groupBy("ref").agg(F.max_by("last", "last_ord").alias("last"), F.max("last_ord").alias("ord"))
+    probable = asked.join(last, F.col("id") == F.col("ref")).groupBy("ref_key").agg(F.max_by("last", "ord").alias("probable"))
+    out = refs.select("ref_key").join(by_title, "ref_key", "left").join(by_doi, "ref_key", "left").join(probable, "ref_key", "left")
     exact = F.coalesce("by_title", "by_doi")
     return out.select("ref_key", F.when(exact.isNotNull(), "exact").when(F.col("probable").isNotNull(), "probable").otherwise("none").alias("status"), F.coalesce(exact, "probable").alias("item_key"))
 
