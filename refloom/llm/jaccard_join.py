@@ -30,8 +30,8 @@ THRESHOLD = Fraction(3, 4)
 #: Cells of the table of shingle counts that orders them: 2^16 to 2^22, four bytes each, whatever the corpus holds.
 LEAST_CELLS_LOG2, MOST_CELLS_LOG2 = 16, 22
 FLUSH = 1 << 19
-#: Rounds in which groups meet at most ASKED groups of a component of at least CROWD in a list; what they leave apart is compared exactly after them.
-ROUNDS, ASKED, CROWD = 2, 8, 4
+#: In each round groups meet so many groups at most of a list's largest component, if that has CROWD; what they leave apart is compared exactly after them.
+ASKED, CROWD = (16, 64), 4
 #: Groups of a list that are paired as one block.
 BLOCK = 256
 
@@ -363,18 +363,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = found.join(best, "list").where(_fits("", "_p", threshold)).select("grp", "pivot").distinct()
     linker.verify(linker.met_by(met, "grp"))
 
-    # what is still apart from the largest component of its lists meets some of that component's classes, others in each list
-    for turn in range(1, ROUNDS + 1):
+    # what is still apart from the largest component of its lists meets some of that component's classes, others in each list and round
+    for turn, most in enumerate(ASKED, 1):
         found = labelled(turn)
-        sizes = found.groupBy("list", "component").agg(F.sum("n").alias("n"), F.min(F.struct(F.xxhash64("list", "grp").alias("h"), "size", "place", "one")).alias("first"))
-        main = sizes.groupBy("list").agg(F.max(F.struct("n", "component", "first")).alias("m")).where(F.col("m.n") >= CROWD)
-        main = main.select("list", F.col("m.component").alias("main"), *as_pivot("m.first"))
-        asked = found.join(main, "list").where((F.col("component") != F.col("main")) & _fits("", "_p", threshold)).select("grp", "component", "pivot").distinct()
-        asked = asked.withColumn("n", F.row_number().over(W.partitionBy("grp", "component").orderBy(F.xxhash64("grp", "pivot")))).where(F.col("n") <= ASKED)
+        sizes = found.groupBy("list", "component").agg(F.sum("n").alias("n"))
+        main = sizes.groupBy("list").agg(F.max(F.struct("n", "component")).alias("m")).where(F.col("m.n") >= CROWD).select("list", F.col("m.component").alias("component"))
+        crowd = found.join(main, ["list", "component"]).withColumn("no", F.row_number().over(W.partitionBy("list").orderBy(F.xxhash64("list", "grp", F.lit(turn)), "grp")))
+        pivots = crowd.where(F.col("no") <= most).select("list", F.col("component").alias("main"), F.col("size").alias("size_p"), F.col("place").alias("place_p"), F.col("one").alias("pivot"))
+        asked = found.join(pivots, "list").where((F.col("component") != F.col("main")) & _fits("", "_p", threshold)).select("grp", "component", "pivot").distinct()
+        asked = asked.withColumn("n", F.row_number().over(W.partitionBy("grp", "component").orderBy(F.xxhash64("grp", "pivot")))).where(F.col("n") <= most)
         linker.verify(linker.met_by(asked.select("grp", "component", "pivot"), "grp", "component"))
 
     # the rest, exactly: every pair of groups that may be similar and has classes that are not connected; a long list is cut into blocks, each pair of which is a key of its own
-    found = labelled(ROUNDS + 1)
+    found = labelled(len(ASKED) + 1)
     long = found.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     cut = found.join(long, "list").withColumn("block", F.pmod(F.xxhash64("grp", "component"), F.col("blocks")).cast("int"))
     columns = ("grp", "size", "place", "component")
