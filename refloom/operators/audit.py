@@ -23,8 +23,11 @@ def reconcile(groups: DataFrame, citations: DataFrame, mapping: DataFrame, order
     ours = groups.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "display").orderBy(*order)))
     theirs = citations.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "display").orderBy("seq")))
     theirs = theirs.select("doc_id", "display", "_n", F.col("dois").alias("_dois"), F.col("keys").alias("_keys"), "dont_update", F.lit(True).alias("_there"))
-    wanted = ours.select("doc_id", *order, "display", F.explode_outer("dois").alias("doi")).join(mapping, "doi", "left").groupBy("doc_id", *order, "display").agg(F.array_sort(F.collect_set("item_key")).alias("_wanted"))
-    both = ours.join(theirs, ["doc_id", "display", "_n"], "left").join(wanted, ["doc_id", *order, "display"])
+    # keys are looked up once for equal DOIs of a document, not for each group
+    asked = groups.select("doc_id", "dois").distinct().select("doc_id", "dois", F.explode("dois").alias("doi"))
+    wanted = asked.join(mapping.select("doi", "item_key"), "doi").groupBy("doc_id", "dois").agg(F.array_sort(F.collect_set("item_key")).alias("_wanted"))
+    both = ours.join(theirs, ["doc_id", "display", "_n"], "left").join(wanted, ["doc_id", "dois"], "left")
+    both = both.withColumn("_wanted", F.coalesce("_wanted", F.array().cast("array<string>")))
     why = (
         F.when(F.col("_there").isNull(), "no field").when(F.array_sort(F.array_distinct("dois")) != F.array_sort(F.array_distinct("_dois")), "dois differ")
         .when(F.array_sort(F.array_distinct("_keys")) != F.col("_wanted"), "uri differs").when(~(F.col("dont_update").eqNullSafe(F.lit(False))), "dontUpdate is not false")

@@ -2,8 +2,6 @@ import re
 
 from refloom.plans import catalogue
 
-TABLES = ("lineitem", "orders", "part")
-
 
 def test_texts_are_shuffled_once(spark):
     """Of the line items there is one text each, dealt out once by its document; what groups by more columns stays on that."""
@@ -16,3 +14,16 @@ def test_texts_are_shuffled_once(spark):
     dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
     by_document = [d for d in dealt if "ref_no" in d]
     assert len(by_document) == 1 and not any("doi" in d or "text" in d for d in dealt)
+
+
+def test_audit_deals_out_no_references(spark):
+    """Windows over displays stay on the corpus' partitioning by part; keys are looked up by DOIs, not for each reference."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.audit_multiset(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert not any("ref_no" in d or "raw_text" in d for d in dealt)
+    assert sum("display" in d for d in dealt) == 2  # the join of both sides, with the number in the display
