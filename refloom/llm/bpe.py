@@ -13,6 +13,8 @@ from refloom.llm.common import worker_state
 #: Chunks a worker remembers, and the longest one worth remembering.
 CACHE_ENTRIES = 300_000
 CACHE_CHARS = 48
+#: Code points of the texts that are cut into chunks at a time; a longer text is cut alone. The chunks of many texts at once leave the remembered ones scattered.
+RUN_CHARS = 1 << 18
 
 # Between two of these characters a single space always starts a new pre-token of the byte-level pattern.
 _CUT_AT_SPACE = re.compile("(?<=[!-~À-ɏ])(?= [!-~À-ɏ])")
@@ -129,6 +131,15 @@ class Encoder:
         """The ids of each text. Empty texts have none."""
         if self.chunks is None:
             return self._direct(texts)
+        out, at, size = [], 0, 0
+        for i, t in enumerate(texts):
+            if size and size + len(t) > RUN_CHARS:
+                out += self._by_chunks(texts[at:i])
+                at, size = i, 0
+            size += len(t)
+        return out + self._by_chunks(texts[at:])
+
+    def _by_chunks(self, texts: list[str]) -> list[bytes]:
         cache = self.cache
         pieces = [self.chunks(t) for t in texts]
         cache.new = set()

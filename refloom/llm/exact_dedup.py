@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from refloom.llm.common import shuffle_partitions, small_batches, spread_join
+from refloom.llm.common import lean, shuffle_partitions, small_batches, spread_join
 
 #: Bytes of strings that a trie may hold before closed subtrees are spilled.
 TRIE_BYTES = 16 << 20
@@ -100,6 +100,7 @@ _OWNERS = "content binary, n_chars long, owner long, n long, digest binary"
 def _owners(budget: int, ordered: bool):
     """Rows of _OWNERS to those of the tries' terminal nodes. Without order the whole trie is spilled at the budget."""
 
+    @lean
     def run(batches):
         trie = Trie()
 

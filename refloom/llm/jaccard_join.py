@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from refloom.llm.common import shuffle_partitions, small_batches, spread_join, whole_text, written
+from refloom.llm.common import lean, shuffle_partitions, small_batches, spread_join, whole_text, written
 from refloom.llm.components import free_shuffles, merged
 from refloom.llm.textkernel import mix, words
 
@@ -87,6 +87,7 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: Fraction = THRESHOLD) -> bo
 def _counts(cells_log2: int, slices_log2: int):
     """How many sets of the task hold a shingle of each cell, as slices of the table."""
 
+    @lean
     def run(batches):
         table = np.zeros(1 << cells_log2, np.int64)
         kept, n = [], 0
@@ -153,6 +154,7 @@ def _posted(shared, cells_log2: int, buckets: int):
                     out[name].append(columns[name][rows[a:b]].tobytes() if name in columns else None)
         return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in out.items()})
 
+    @lean
     def run(batches):
         table = np.frombuffer(shared.value, "<u4")
         seen: set[int] = set()
@@ -198,6 +200,7 @@ def _posted(shared, cells_log2: int, buckets: int):
 _MATCHED = "list long, grp long, size int, place int, score float, row_id long, whole long"
 
 
+@lean
 def _matched(batches):
     """Per bucket: lists of groups that share a shingle, and the bucket's members. Rows with a list are list entries."""
     key, post, members = None, [], []
@@ -257,6 +260,7 @@ def _match(post, members):
 
 
 def _verified(threshold: Fraction):
+    @lean
     def run(batches):
         for b in batches:
             sets = {}
@@ -392,6 +396,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return linked.unionByName(alone).withColumnRenamed("row_id", id_col)
 
 
+@lean
 def _sizes(batches):
     for b in batches:
         n = [int(x) for _, _, bounds, _ in shingle_sets(b.column("content")) for x in np.diff(bounds)]

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from refloom.llm.bpe import encoder
-from refloom.llm.common import small_batches, whole_text, written
+from refloom.llm.common import lean, small_batches, whole_text, written
 
 SEQUENCE_TOKENS = 2048
 #: Rows of the partitions' prefix sums up to which they are broadcast.
@@ -25,6 +25,7 @@ _ENCODED = "part int, doc_id long, start_in_part long, doc_tokens long, ids bina
 
 
 def _encode(tokenizer: str, end_id: int):
+    @lean
     def run(batches):
         from pyspark import TaskContext
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import give_back_freed, small_batches, whole_text
+from refloom.llm.common import give_back_freed, lean, small_batches, whole_text
 from refloom.llm.textkernel import _BYTE_BASE, Words, _powers, _tables, mix, words
 
 BUCKETS = 1 << 18
@@ -125,6 +125,7 @@ def fold(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
+@lean
 def _bags_of(batches):
     """Texts to their buckets and shares, so that a long text costs training its distinct buckets, not its length."""
     for b in batches:
@@ -149,6 +150,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS,
 
 
 def _score(shared):
+    @lean
     def run(batches):
         table, zero = shared.value
         for b in batches:
@@ -185,6 +187,7 @@ def keep_good(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model.flat())
 
+    @lean
     def run(batches):
         for b, scores in ((b, next(_score(shared)([pa.RecordBatch.from_arrays([b.column(text_col)], names=["content"])]))) for b in batches):
             yield b.filter(pa.array(scores.column("score").to_numpy() >= threshold))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import shuffle_partitions, small_batches, spread_join, whole_text, written
+from refloom.llm.common import GROWN, hand_back, lean, shuffle_partitions, small_batches, spread_join, whole_text, written
 from refloom.llm.textkernel import Words, words
 
 WINDOW = 35
@@ -92,6 +92,7 @@ def _selected(window: int, anchor: int):
         n = np.minimum(n, 2)
         return pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "places": pa.array(n, pa.int64()), "cell": pa.nulls(len(n), pa.int32())})
 
+    @lean
     def run(batches):
         kept, n, table = [], 0, np.zeros(CELLS, np.int64)
         for b in batches:
@@ -159,6 +160,7 @@ def _distinct_fragments(window: int, anchor: int, shared):
             part = list(held.items())[at : at + 4000]
             yield pa.RecordBatch.from_pydict({"anchor": pa.array([k for _, (k, _) in part], pa.int64()), "fragment": pa.array([f for f, _ in part], pa.binary()), "places": pa.array([n for _, (_, n) in part], pa.int64())})
 
+    @lean
     def run(batches):
         bits, hot = shared.value
         bits, held, size = np.frombuffer(bits, np.uint8), {}, 0
@@ -184,6 +186,7 @@ def _distinct_fragments(window: int, anchor: int, shared):
 def _places(window: int, anchor: int, shared):
     """(text_key, first, digest) of every fragment of the task's texts, equal texts being one while their keys are held."""
 
+    @lean
     def run(batches):
         bits, hot = shared.value
         bits, seen = np.frombuffer(bits, np.uint8), set()
@@ -284,6 +287,7 @@ def _located(window: int):
             part = rows[at : at + 4000]
             yield pa.RecordBatch.from_pydict({"digest": pa.array([d for d, _ in part], pa.binary()), "spans": pa.array([s for _, s in part], pa.list_(pa.int32()))})
 
+    @lean
     def run(batches):
         held, mine, size, last = {}, {}, 0, None
         for b in batches:
@@ -345,6 +349,7 @@ def _strip(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         keep = np.cumsum(gone[:-1]) == 0
         kept = [x for x, k in zip(own, keep.tolist(), strict=True) if k]
         rows.append((len(own), len(own) - len(kept), b" ".join(kept).decode("utf-8")))
+    hand_back(GROWN)
     return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text"])
 
 
